@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .bpe import encode_bpe
+from .line_dedup import dedup_lines
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,3 +36,29 @@ def op8_bpe(spark, sf_dir: str):
 
 def bpe_digests(coded):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op4_line_dedup(spark, sf_dir: str):
+    """Each document without later repeats of runs of lines."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), "text")
+
+
+ORACLES["op4_line_dedup"] = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+raw AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS pos FROM cut),
+ln AS (SELECT doc_id, pos, regexp_replace(l, '^\s+|\s+$', '', 'g') AS l FROM raw),
+w AS (SELECT doc_id, pos, l, len(regexp_split_to_array(l, '[ \t\x0B\f\r]+')) AS words FROM ln WHERE l <> ''),
+e AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS en, sum(words) OVER (PARTITION BY doc_id) AS total FROM w),
+s AS (SELECT *, en - words AS st FROM e),
+k AS (SELECT doc_id, pos, st, en,
+  CASE WHEN total - st >= 50 THEN md5(string_agg(l, chr(10)) OVER (PARTITION BY doc_id ORDER BY st RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS kf,
+  CASE WHEN en >= 50 THEN md5(string_agg(l, chr(10)) OVER (PARTITION BY doc_id ORDER BY en RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)) END AS kb FROM s),
+f AS (SELECT *, kf IS NOT NULL AND row_number() OVER (PARTITION BY kf ORDER BY doc_id, pos) > 1 AS hf, kb IS NOT NULL AND row_number() OVER (PARTITION BY kb ORDER BY doc_id, pos) > 1 AS hb FROM k),
+g AS (SELECT doc_id, pos, coalesce(max(hf::int) OVER (PARTITION BY doc_id ORDER BY st RANGE BETWEEN 49 PRECEDING AND CURRENT ROW), 0) + coalesce(max(hb::int) OVER (PARTITION BY doc_id ORDER BY en RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING), 0) > 0 AS gone FROM f),
+d AS (SELECT doc_id, count(*) AS n FROM g WHERE gone GROUP BY 1),
+t AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY pos) AS text, max((trim(l) <> '')::int) AS some FROM raw ANTI JOIN (SELECT * FROM g WHERE gone) USING (doc_id, pos) GROUP BY 1),
+r AS (SELECT c.doc_id, coalesce(d.n, 0)::BIGINT AS n_removed, CASE WHEN d.n IS NULL THEN c.text WHEN coalesce(t.some, 0) = 0 THEN '' ELSE t.text END AS text FROM cut c LEFT JOIN d USING (doc_id) LEFT JOIN t USING (doc_id))
+SELECT doc_id, n_removed, length(text)::BIGINT AS n_chars_kept, text FROM r
+"""
