@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .bpe import encode_bpe
+from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 
 QUERIES: dict = {}
@@ -62,3 +63,22 @@ t AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY pos) AS text, max((trim(l) <
 r AS (SELECT c.doc_id, coalesce(d.n, 0)::BIGINT AS n_removed, CASE WHEN d.n IS NULL THEN c.text WHEN coalesce(t.some, 0) = 0 THEN '' ELSE t.text END AS text FROM cut c LEFT JOIN d USING (doc_id) LEFT JOIN t USING (doc_id))
 SELECT doc_id, n_removed, length(text)::BIGINT AS n_chars_kept, text FROM r
 """
+
+
+@query
+def op9_decontaminate(spark, sf_dir: str):
+    """Benchmark items found in documents."""
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+SHINGLES = r"""
+{name}_w AS (SELECT {key} AS k, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {table}),
+{name} AS (SELECT DISTINCT k, s FROM (SELECT k, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN ['short ' || array_to_string(ws, ' ')] ELSE [] END) AS s FROM {name}_w))"""
+
+ORACLES["op9_decontaminate"] = f"""
+WITH {SHINGLES.format(name="d", key="doc_id", table="documents")}, {SHINGLES.format(name="b", key="item_id", table="benchmark")},
+n AS (SELECT k, count(*) AS n_item FROM b GROUP BY 1)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM (SELECT d.k AS doc_id, b.k AS item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY 1, 2) JOIN n ON n.k = item_id
+WHERE n_shared >= 0.75 * n_item
+"""
