@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_bpe
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,3 +83,18 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM (SELECT d.k AS doc_id, b.k AS item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY 1, 2) JOIN n ON n.k = item_id
 WHERE n_shared >= 0.75 * n_item
 """
+
+
+@query
+def op10_near_dedup(spark, sf_dir: str):
+    """Component of each document over links of similar texts."""
+    return near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op10_near_dedup"] = f"""
+WITH RECURSIVE {SHINGLES.format(name="d", key="doc_id", table="documents")},
+n AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN d ON k = doc_id GROUP BY 1),
+l AS (SELECT x, y FROM (SELECT p.k AS x, q.k AS y, count(*) AS c FROM d p JOIN d q ON p.s = q.s AND p.k <> q.k GROUP BY 1, 2) JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT doc_id, n::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) ON x = doc_id
+"""
