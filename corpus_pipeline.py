@@ -1,13 +1,76 @@
-"""The corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, BPE."""
+"""The corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, BPE.
+
+Each stage works on all documents that its predecessor kept. The first four return the columns of documents with
+their decisions taken: rejected, duplicate or contaminated documents are gone, repeated lines are cut out of
+the texts (and n_chars follows). The last returns doc_id, the number of ids, and the digests of ids and of the text
+decoded from them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from fathom.llm.bpe import encode_bpe
+from fathom.llm.common import drop_staged, stage, staged_mark
+from fathom.llm.decontaminate import decontaminate
+from fathom.llm.line_dedup import dedup_lines
+from fathom.llm.near_dedup import drop_near_duplicates
+from fathom.llm.quality import keep_good
+from fathom.llm.queries_text import bpe_digests, tokenizer_path
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the quality classifier does not reject; labels of a fifth of the ids are not read."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_stage(spark, docs, sf_dir):
+    """Documents without later repeats of runs of lines; one that has lost every line goes."""
+    out = dedup_lines(docs, removed="__removed").where((F.col("__removed") == 0) | (F.col("text") != ""))
+    n = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+
+
+def near_stage(spark, docs, sf_dir):
+    """One document of each group of near copies, the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def benchmark_stage(spark, docs, sf_dir):
+    """Documents that hold no benchmark item."""
+    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hits, docs.doc_id == F.col("__hit"), "left_anti")
+
+
+def bpe_stage(spark, docs, sf_dir):
+    """Ids and round trip of each document."""
+    return bpe_digests(encode_bpe(docs.select("doc_id", "text"), tokenizer_path(), decoded="decoded"))
+
+
+def _alone(work):
+    """The stage that first drops what earlier stages left in the shared folder: their results are written by then."""
+
+    def run_stage(spark, docs, sf_dir):
+        drop_staged(spark, staged_mark(spark))
+        return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+WORK = (quality_stage, line_stage, near_stage, benchmark_stage, bpe_stage)
+STAGES = [(f.__name__, _alone(f)) for f in WORK]
+
+#: The classifier's decisions can't be expressed in SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over documents, each result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+    for work in WORK[:-1]:
+        before = staged_mark(spark)
+        written = stage(work(spark, docs, sf_dir), work.__name__)
+        used = [p for p in staged_mark(spark) if p not in before and p != written._staged_at]
+        drop_staged(spark, used + ([docs._staged_at] if hasattr(docs, "_staged_at") else []))
+        docs = written
+    return WORK[-1](spark, docs, sf_dir)

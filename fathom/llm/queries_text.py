@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .bpe import encode_bpe
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
+from .common import crc_bucket
 from .near_dedup import near_duplicates
+from .quality import fit_quality, score_quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -98,3 +100,15 @@ l AS (SELECT x, y FROM (SELECT p.k AS x, q.k AS y, count(*) AS c FROM d p JOIN d
 r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT doc_id, n::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) ON x = doc_id
 """
+
+
+def scored(docs, held, score):
+    return docs.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op2_quality(spark, sf_dir: str):
+    """Each document's quality score; labels of a fifth of the ids are held out."""
+    docs, held = read(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket("doc_id", 5) == 0
+    model = fit_quality(docs, read(spark, sf_dir, "labels"), held)
+    return scored(score_quality(docs, model), held, F.col("score"))
