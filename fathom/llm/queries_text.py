@@ -10,6 +10,7 @@ from .line_dedup import dedup_lines
 from .common import crc_bucket
 from .near_dedup import near_duplicates
 from .quality import fit_quality, score_quality
+from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -112,3 +113,11 @@ def op2_quality(spark, sf_dir: str):
     docs, held = read(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket("doc_id", 5) == 0
     model = fit_quality(docs, read(spark, sf_dir, "labels"), held)
     return scored(score_quality(docs, model), held, F.col("score"))
+
+
+@query
+def op1_toxicity(spark, sf_dir: str):
+    """Each document's toxicity score; labels of a quarter of the ids are held out."""
+    docs, held = read(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket("doc_id", 4) == 2
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"), held)
+    return scored(score_toxicity(docs, model), held, F.col("score"))
