@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_bpe
 from .decontaminate import decontaminate
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .common import crc_bucket
 from .near_dedup import near_duplicates
@@ -121,3 +122,13 @@ def op1_toxicity(spark, sf_dir: str):
     docs, held = read(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket("doc_id", 4) == 2
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"), held)
     return scored(score_toxicity(docs, model), held, F.col("score"))
+
+
+@query
+def op7_licenses(spark, sf_dir: str):
+    """License phrases and templates in each document."""
+    found = scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", F.size("base_starts").cast("long").alias("n_base"), F.array_min("base_starts").alias("first_word"), F.array_max("base_starts").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
