@@ -12,6 +12,7 @@ from .common import crc_bucket
 from .near_dedup import near_duplicates
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
+from .warc import warc_round_trip
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -132,3 +133,18 @@ def op7_licenses(spark, sf_dir: str):
         "doc_id", "n_words", F.size("base_starts").cast("long").alias("n_base"), F.array_min("base_starts").alias("first_word"), F.array_max("base_starts").alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+@query
+def op6_warc(spark, sf_dir: str):
+    """Every page written to WARC archives and read back from them."""
+    found = warc_round_trip(read(spark, sf_dir, "pages"))
+    return found.select(F.col("record_id").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND head <> page_id THEN head END AS refers_to FROM m
+"""
