@@ -11,6 +11,7 @@ from .line_dedup import dedup_lines
 from .common import crc_bucket
 from .near_dedup import near_duplicates
 from .quality import fit_quality, score_quality
+from .topk import divisible, integer_vectors, top_k
 from .toxicity import fit_toxicity, score_toxicity
 from .warc import warc_round_trip
 
@@ -148,3 +149,17 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND head <> page_id THEN head END AS refers_to FROM m
 """
+
+
+@query
+def op5_topk(spark, sf_dir: str):
+    """The 5 vectors of highest integer inner product for every vec_id divisible by 50."""
+    vectors = integer_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, vectors.where(divisible(F.col("vec_id"), 50)), 5)
+
+
+ORACLES["op5_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
