@@ -10,6 +10,7 @@ from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .common import crc_bucket
 from .near_dedup import near_duplicates
+from .packing import pack_round_trip
 from .quality import fit_quality, score_quality
 from .topk import divisible, integer_vectors, top_k
 from .toxicity import fit_toxicity, score_toxicity
@@ -163,3 +164,12 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
+@query
+def op3_packing(spark, sf_dir: str):
+    """Every document packed into rows of 2048 ids, written, and read back from them."""
+    import public_tokenizers
+
+    back = pack_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return back.select("doc_id", "n_tokens", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"))
