@@ -1,6 +1,6 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly. DataFrame functions only.
 
-Words are the runs of characters other than ASCII white space, A-Z lower-cased; a set is the distinct
+Words are the runs of characters other than ASCII white space, lower-cased; a set is the distinct
 shingles of five words (of fewer words: the whole sequence, as one). An item is found in a document if at
 least `threshold` of its shingles are in the document.
 
@@ -25,7 +25,7 @@ words matches only a document of the same words; rows repeating doc_id or item_i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -33,40 +33,31 @@ from .common import stage
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def shingle_rows(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
+    """(key, h): a row for each shingle, repeats included, h its hash; of fewer than k words, one row for the whole sequence; of none, none.
 
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), SPACE), lambda w: w != "")
-
-
-def shingle_hashes(words: Column, k: int = 5) -> Column:
-    """Hashes of the shingles in order, repeats included; of fewer than k words, one of the whole sequence; of none, none."""
-    # zipping k shifted copies pads the last ones with null; the first n - k + 1 are whole
-    zipped = F.slice(F.arrays_zip(*[F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))) if i else words for i in range(k)]), 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
-    whole = F.transform(zipped, lambda s: F.xxhash64(s))
-    return F.when(F.size(words) >= k, whole).when(F.size(words) > 0, F.array(F.xxhash64(F.lit(k), words))).otherwise(F.array().cast("array<bigint>"))
-
-
-def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, hs): the shingle hashes of each text."""
-    ws = df.select(F.col(key).alias("key"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("ws"))
-    return ws.select("key", shingle_hashes(F.col("ws")).alias("hs")).where(F.size("hs") > 0)
+    Shifted copies of the word array are zipped and unrolled, so the hash is compiled code over plain columns."""
+    words = F.split(F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\f\r")), SPACE)
+    rows = df.select(F.col(key).alias("key"), words.alias("ws")).where("ws[0] <> ''")
+    n = F.size("ws")
+    names = [f"w{i}" for i in range(k)]
+    shifted = [F.slice("ws", i + 1, F.greatest(n - (k - 1), F.lit(0))).alias(names[i]) for i in range(k)]
+    short = F.array(F.struct(F.array_join("ws", " ").alias("w0"), *[F.lit(None).cast("string").alias(c) for c in names[1:]]))
+    return rows.select("key", F.inline(F.when(n >= k, F.arrays_zip(*shifted)).otherwise(short))).select("key", F.xxhash64(*names).alias("h"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75, sketch: int = 16, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment): every pair found, containment n_shared / n_item >= threshold."""
-    shingles = stage(hashed(items, item_id, item_text).select(F.col("key").alias("item_id"), F.explode("hs").alias("h")).distinct(), "items")
+    shingles = stage(shingle_rows(items, item_id, item_text).select(F.col("key").alias("item_id"), "h").distinct(), "items")
     sizes = shingles.groupBy("item_id").agg(F.count("*").alias("n_item"), F.sort_array(F.collect_list("h")).alias("hs"))
     sizes = sizes.withColumn("cls", F.ceil(F.log2("n_item")).cast("int"))
     prints = stage(sizes.select("item_id", "cls", F.explode(F.slice("hs", 1, sketch)).alias("v")), "item_sketches")
     bound = max([r[0] for r in prints.groupBy("cls").agg(F.max("v")).collect()], default=None)  # a row for each doubling of size
-    rows = hashed(docs, doc_id, text).select("key", F.explode("hs").alias("v")).where(F.col("v") <= F.lit(bound))
+    rows = shingle_rows(docs, doc_id, text).select("key", F.col("h").alias("v")).where(F.col("v") <= F.lit(bound))
     found = rows.join(prints, "v")
     pairs = stage(found.select(F.col("key").alias("doc_id"), "item_id").distinct(), "candidates")
     texts = docs.join(pairs.select(F.col("doc_id").alias("__c")).distinct(), F.col(doc_id) == F.col("__c"), "left_semi")
-    theirs = hashed(texts, doc_id, text).select(F.col("key").alias("doc_id"), F.explode("hs").alias("h"))
+    theirs = shingle_rows(texts, doc_id, text).select(F.col("key").alias("doc_id"), "h")
     # only shingles that some item has are worth a shuffle
     hits = theirs.join(shingles.select("h").distinct(), "h", "left_semi").distinct().join(shingles, "h")
     shared = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared")).join(pairs, ["doc_id", "item_id"], "left_semi")

@@ -80,11 +80,12 @@ def op9_decontaminate(spark, sf_dir: str):
 
 
 SHINGLES = r"""
-{name}_w AS (SELECT {key} AS k, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {table}),
+{name}_w AS (SELECT {key} AS k, list_filter(regexp_split_to_array({lower}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {table}),
 {name} AS (SELECT DISTINCT k, s FROM (SELECT k, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN ['short ' || array_to_string(ws, ' ')] ELSE [] END) AS s FROM {name}_w))"""
 
+LOWER, ASCII_LOWER = "lower(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op9_decontaminate"] = f"""
-WITH {SHINGLES.format(name="d", key="doc_id", table="documents")}, {SHINGLES.format(name="b", key="item_id", table="benchmark")},
+WITH {SHINGLES.format(name="d", key="doc_id", table="documents", lower=LOWER)}, {SHINGLES.format(name="b", key="item_id", table="benchmark", lower=LOWER)},
 n AS (SELECT k, count(*) AS n_item FROM b GROUP BY 1)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM (SELECT d.k AS doc_id, b.k AS item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY 1, 2) JOIN n ON n.k = item_id
@@ -99,7 +100,7 @@ def op10_near_dedup(spark, sf_dir: str):
 
 
 ORACLES["op10_near_dedup"] = f"""
-WITH RECURSIVE {SHINGLES.format(name="d", key="doc_id", table="documents")},
+WITH RECURSIVE {SHINGLES.format(name="d", key="doc_id", table="documents", lower=ASCII_LOWER)},
 n AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN d ON k = doc_id GROUP BY 1),
 l AS (SELECT x, y FROM (SELECT p.k AS x, q.k AS y, count(*) AS c FROM d p JOIN d q ON p.s = q.s AND p.k <> q.k GROUP BY 1, 2) JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
