@@ -1,3 +1,3 @@
 """Loads every module that registers queries."""
 
-from . import timeline  # noqa: F401
+from . import distributions, timeline  # noqa: F401
