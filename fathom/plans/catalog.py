@@ -1,3 +1,3 @@
 """Loads every module that registers queries."""
 
-from . import curation, distributions, timeline  # noqa: F401
+from . import curation, data_plane, distributions, timeline  # noqa: F401
