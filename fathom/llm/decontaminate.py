@@ -52,7 +52,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75, sk
     sizes = shingles.groupBy("item_id").agg(F.count("*").alias("n_item"), F.sort_array(F.collect_list("h")).alias("hs"))
     sizes = sizes.withColumn("cls", F.ceil(F.log2("n_item")).cast("int"))
     prints = stage(sizes.select("item_id", "cls", F.explode(F.slice("hs", 1, sketch)).alias("v")), "item_sketches")
-    bound = max([r[0] for r in prints.groupBy("cls").agg(F.max("v")).collect()], default=None)  # a row for each doubling of size
+    bound = max([r[1] for r in prints.groupBy("cls").agg(F.max("v")).collect()], default=None)  # a row for each doubling of size
     rows = shingle_rows(docs, doc_id, text).select("key", F.col("h").alias("v")).where(F.col("v") <= F.lit(bound))
     found = rows.join(prints, "v")
     pairs = stage(found.select(F.col("key").alias("doc_id"), "item_id").distinct(), "candidates")
