@@ -7,12 +7,13 @@ their sets' Jaccard similarity reaches the threshold, 0.75.
 1. One pass computes each set's size, a 64-bit identity pair, a MinHash signature of 128 values and 32 band keys
    of four values: two sets at 0.75 share none with odds of (1 - 0.75^4)^32 = 5e-6, more similar ones less.
 2. Documents of equal sets are one node, the smallest doc_id, from a map-side-combined minimum: copies never meet.
-3. Candidates. Stars first: in each bucket every node meets the bucket's centre, the node whose bands are the
-   most crowded (of a family of near copies that is the one that most resemble), and its least node. After the
-   links of that are joined into components, another star round serves the buckets that still hold several
-   components; then the remaining pairs of a bucket that lie in different components all become candidates.
-   Pairs inside a component need no test: they can't change it. So a large family costs a few rows per
-   member, and no link between components is lost.
+3. Candidates. A star first: in each bucket every node meets the bucket's centre, the node whose bands are the
+   most crowded (of a family of near copies that is the one that most resemble), and its least node. The links
+   found are joined into components, and only buckets that still hold several are looked at again: there each node
+   outside the largest component is compared by signature with the nodes of other components, in tiles of bounded size,
+   and meets the few most alike; after two such rounds, whatever pairs of different components are left. Pairs
+   inside a component need no test: they can't change it. So a large family costs a few rows per member, pairs of
+   a bucket are never listed, only those that pass the signatures' test, and no link between components is lost.
 4. Verification. A pair's signatures are compared in batches; after each, the pair is dropped if the posterior
    odds that its similarity reaches the threshold, given the matches so far and a uniform prior, are under
    `miss`. Survivors are confirmed on the full sets, exactly.
@@ -36,6 +37,8 @@ from pyspark.sql import types as T
 from .common import connected_components, stage, unstage
 
 PERMUTATIONS, BANDS, BATCH = 128, 32, 16
+#: Nodes of a bucket in a tile, about.
+TILE = 1024
 #: Distinct shingles signed at a time: bounds memory for very long texts.
 SIGN_ROWS = 2048
 
@@ -152,6 +155,10 @@ def bayes_survivors(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: f
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def confirmed_links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    return stage(confirmed(stage(pairs, "survivors"), docs, doc_id, text, threshold), "links")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """Pairs whose full sets reach the threshold; only the texts of documents in a pair are read again into sets."""
     up = round(threshold * 100)
@@ -178,45 +185,76 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, thresho
     return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-7, star_rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable over links, kept tells that row."""
+def tile_pairs(mixed: DataFrame, sigs: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
+    """(a, b) of nodes of different components that share a bucket and pass the test of their signatures; of each node the `most` most alike in a tile, or all.
+
+    mixed: (key, id, c). A bucket is cut into tiles of about TILE nodes by a hash of the node, and each two tiles meet in a group of their own."""
+    needs = least_matches(threshold, miss)
+    ends, least = np.array([c for c, _ in needs]), np.array([m for _, m in needs])
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, comp, side = (t.column(c).to_numpy() for c in ("id", "c", "t"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        names, counts = np.unique(comp, return_counts=True)
+        out = []
+        for x in np.flatnonzero(comp != names[counts.argmax()]):
+            others = comp != comp[x]
+            if i != j:
+                others &= side != side[x]
+            y = np.flatnonzero(others)
+            hits = np.zeros(len(y), np.int64)
+            at = 0
+            for c, m in zip(ends, least):  # batch by batch, while the posterior allows
+                hits = hits + (sig[y, at:c] == sig[x, at:c]).sum(axis=1)
+                live = hits >= m
+                y, hits, at = y[live], hits[live], c
+            if most is not None and len(y) > most:
+                best = np.lexsort((ids[y], -hits))[:most]
+                y, hits = y[best], hits[best]
+            out += [(min(ids[x], ids[k]), max(ids[x], ids[k])) for k in y]
+        out = sorted(set(out))
+        return pa.table({"a": pa.array([int(p) for p, _ in out], pa.int64()), "b": pa.array([int(q) for _, q in out], pa.int64())})
+
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = mixed.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "c").join(sigs, "id")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6, closest: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable over links, kept tells that row.
+
+    closest: how many of the most alike nodes each one meets in the rounds before the last, which has no such bound."""
     sk = stage(sketch_table(docs, doc_id, text), "sketch")
     nodes = sk.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
     mine = sk.join(nodes.withColumnRenamed("node", "id"), ["k1", "k2", "id"], "left_semi").where("id is not null")
     sigs = mine.select("id", "sig")
     every = mine.select("id", F.explode("keys").alias("key")).distinct()
-    crowd = every.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1")
+    crowd = every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = stage(every.join(crowd, "key"), "buckets")
     fame = buckets.groupBy("id").agg(F.sum("m").alias("fame"))
-    buckets_f = stage(buckets.join(fame, "id"), "buckets")
-    unstage(buckets)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = tried = comps = None
-    for turn in range(star_rounds + 1):
-        if comps is None:
-            now = buckets_f.withColumn("c", F.col("id"))
-        else:
-            now = buckets_f.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-            now = stage(now.join(mixed, "key", "left_semi"), "mixed")
-            if now.isEmpty():
+    heads = buckets.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", -F.col("id"))).alias("h"), F.min("id").alias("least"))
+    met = buckets.join(heads, "key").select("id", F.explode(F.array(-F.col("h.col2"), F.col("least"))).alias("o")).where("id <> o")
+    pairs = stage(met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "pairs")
+    links, tried = confirmed_links(bayes_survivors(pairs, sigs, threshold, miss), docs, doc_id, text, threshold), pairs
+    comps = stage(connected_components(links), "components")
+    for most in (closest, closest, None):
+        now = buckets.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        several = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+        mixed = stage(now.join(several, "key", "left_semi"), "mixed")
+        pairs = stage(tile_pairs(mixed, sigs, threshold, miss, most).join(tried, ["a", "b"], "left_anti"), "pairs")
+        unstage(mixed)
+        if pairs.isEmpty():
+            if most is None:
                 break
-        if turn < star_rounds:
-            heads = now.groupBy("key").agg(F.max(F.struct("fame", -F.col("id"), "c")).alias("h"), F.min(F.struct("id", "c")).alias("l"))
-            met = now.join(heads, "key").select("id", "c", F.explode(F.array(F.struct((-F.col("h.col2")).alias("id"), F.col("h.c").alias("c")), F.col("l"))).alias("o"))
-            pairs = met.where(F.col("c") != F.col("o.c")).select(*pair(F.col("id"), F.col("o.id"))).distinct()
-        else:
-            x, y = now.select("key", F.col("id").alias("i"), F.col("c").alias("ci")), now.select("key", F.col("id").alias("j"), F.col("c").alias("cj"))
-            pairs = x.join(y, "key").where("ci < cj").select(*pair(F.col("i"), F.col("j"))).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        left = stage(bayes_survivors(pairs, sigs, threshold, miss), "survivors")
-        more = stage(confirmed(left, docs, doc_id, text, threshold), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = more if links is None else links.union(more)
+            continue
+        more = confirmed_links(pairs, docs, doc_id, text, threshold)
+        tried = tried.union(pairs)
+        links = links.union(more)
         comps = stage(connected_components(links), "components")
-    of_node = nodes.join(comps, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("c")) if comps is not None else nodes.withColumnRenamed("node", "c")
+    unstage(buckets)
+    of_node = nodes.join(comps, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("c"))
     out = sk.select("id", "n", "k1", "k2").join(of_node, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")))
     return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
 
