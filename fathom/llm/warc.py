@@ -39,7 +39,8 @@ def plan_records(df: DataFrame, record_id: str, payload: str, revisit_bytes: int
 
 def write_warc(df: DataFrame, path: str, record_id: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write a record of each row under a folder of .warc files."""
-    revisits = plan_records(df, record_id, payload, revisit_bytes).where("refers_to is not null").select(F.col("id").alias("__id"), F.col("refers_to").alias("__to")).distinct()
+    # staged, so that Spark knows its size: under the broadcast threshold payloads stay where they are, beyond it both sides are shuffled
+    revisits = stage(plan_records(df, record_id, payload, revisit_bytes).where("refers_to is not null").select(F.col("id").alias("__id"), F.col("refers_to").alias("__to")).distinct(), "revisits")
     name = lambda c: F.concat(F.lit("<urn:fathom:page:"), c.cast("string"), F.lit(">"))
     rows = df.select(F.col(record_id).alias("i"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"\s+", "").alias("u"), F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")).alias("p"))
     rows = rows.join(revisits, F.col("i") == F.col("__id"), "left")
