@@ -251,6 +251,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6
             continue
         more = confirmed_links(pairs, docs, doc_id, text, threshold)
         tried = tried.union(pairs)
+        if more.isEmpty():
+            continue
         links = links.union(more)
         comps = stage(connected_components(links), "components")
     unstage(buckets)
@@ -260,6 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, one of each component, all columns as they were."""
-    gone = near_duplicates(docs, threshold, doc_id=doc_id, text=text).where("not kept").select(F.col("id").alias("__gone")).distinct()
+    """The documents, one of each component, all columns as they were. An id goes if none of its rows is kept."""
+    found = near_duplicates(docs, threshold, doc_id=doc_id, text=text)
+    gone = found.groupBy("id").agg(F.bool_or("kept").alias("any")).where("not any").select(F.col("id").alias("__gone"))
     return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")

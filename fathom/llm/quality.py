@@ -128,7 +128,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out=None, positives: in
     trusted = marks.groupBy("__l").agg(F.max("__y").alias("y")).where("y = 1 and __l is not null").orderBy(F.xxhash64("__l"), "__l").limit(positives).select("__l")
     some = docs.select(F.col(doc_id).alias("__l")).where("__l is not null").orderBy(F.xxhash64("__l", F.lit(1)), "__l").limit(unlabelled)
     chosen = trusted.select("__l", F.lit(1).alias("p")).union(some.select("__l", F.lit(0))).groupBy("__l").agg(F.max("p").alias("p"), F.min("p").alias("q"))
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__l"))  # at most positives + unlabelled ids
+    rows = docs.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("__l"))  # at most positives + unlabelled ids
     got = features_table(rows, doc_id, text, ["p", "q"]).orderBy("id", "p", *[f"f{i}" for i in range(N_FEATURES)]).toPandas()
     x = got[[f"f{i}" for i in range(N_FEATURES)]].to_numpy(float)
     is_p, is_u = got["p"].to_numpy() == 1, got["q"].to_numpy() == 0
