@@ -11,7 +11,8 @@ their sets' Jaccard similarity reaches the threshold, 0.75.
    most crowded (of a family of near copies that is the one that most resemble), and its least node. The links
    found are joined into components, and only buckets that still hold several are looked at again: there each node
    outside the largest component is compared by signature with the nodes of other components, in tiles of bounded size,
-   and meets the few most alike; after two such rounds, whatever pairs of different components are left. Pairs
+   and meets the few most alike; after two such rounds, whatever pairs of different components are left. (Buckets of
+   up to 16 nodes list their pairs of different components at once, 120 at most.) Pairs
    inside a component need no test: they can't change it. So a large family costs a few rows per member, pairs of
    a bucket are never listed, only those that pass the signatures' test, and no link between components is lost.
 4. Verification. A pair's signatures are compared in batches; after each, the pair is dropped if the posterior
@@ -37,8 +38,8 @@ from pyspark.sql import types as T
 from .common import connected_components, stage, unstage
 
 PERMUTATIONS, BANDS, BATCH = 128, 32, 16
-#: Nodes of a bucket in a tile, about.
-TILE = 1024
+#: Nodes of a bucket in a tile, about; buckets of up to SMALL nodes are paired by a join.
+TILE, SMALL = 1024, 16
 #: Distinct shingles signed at a time: bounds memory for very long texts.
 SIGN_ROWS = 2048
 
@@ -239,15 +240,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6
     pairs = stage(met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "pairs")
     links, tried = confirmed_links(bayes_survivors(pairs, sigs, threshold, miss), docs, doc_id, text, threshold), pairs
     comps = stage(connected_components(links), "components")
-    for most in (closest, closest, None):
-        now = buckets.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    for turn, most in enumerate((closest, closest, None)):
+        now = buckets if turn == 0 else buckets.where(F.col("m") > SMALL)  # small buckets are done with after one turn
+        now = now.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "m", "id", F.coalesce("component", "id").alias("c"))
         several = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
         mixed = stage(now.join(several, "key", "left_semi"), "mixed")
-        pairs = stage(tile_pairs(mixed, sigs, threshold, miss, most).join(tried, ["a", "b"], "left_anti"), "pairs")
-        unstage(mixed)
+        found = tile_pairs(mixed.where(F.col("m") > SMALL), sigs, threshold, miss, most)
+        if turn == 0:
+            x, y = (mixed.where(F.col("m") <= SMALL).select("key", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
+            few = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+            found = found.union(bayes_survivors(few, sigs, threshold, miss)).distinct()
+        pairs = stage(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if most is None:
-                break
             continue
         more = confirmed_links(pairs, docs, doc_id, text, threshold)
         tried = tried.union(pairs)
