@@ -33,7 +33,7 @@ BLANK = r" \t\n\r\x0b\x0c"
 LATIN_PIECES = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^{BLANK}0-9{LATIN}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"""
 BEYOND_LATIN = "[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 #: Pieces remembered by a worker; beyond that it starts afresh. Longer pieces are not remembered.
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 150_000, 32
 #: Pieces of up to WIDEST bytes are merged ROWS at a time, longer ones alone.
 WIDEST, ROWS = 64, 1 << 14
 #: The largest vocabulary file that is sent to the executors, in bytes.
@@ -316,7 +316,7 @@ def worker_encoder(sent) -> Encoder:
     return kept[key]
 
 
-def by_size(texts: list, most: int = 1 << 21):
+def by_size(texts: list, most: int = 1 << 19):
     """Consecutive slices of about `most` characters."""
     at = size = 0
     for i, t in enumerate(texts):
