@@ -4,7 +4,7 @@ Writing. A record is one row of text whose line separator is the two line ends t
 own writer makes plain .warc files on any store it knows, with its commit protocol: a lost executor's files
 are never seen. Payload bytes go through unchanged. Rows are told apart by a digest of the payload; of equal payloads of
 at least `revisit_bytes` bytes that with the largest id is a response and the others revisit it. Only digests,
-sizes and ids are grouped, with map-side maxima; payloads are joined to the decisions of their ids alone.
+sizes and ids are grouped, with map-side maxima; payloads are joined to the decisions of their id, digest and size.
 
 Reading. The magic WARC/1.1 may also stand inside payloads, so it proves nothing. Files are read by Spark's splittable
 text source with the magic as separator; a task sees what lies between two magics, wherever its split begins, and
@@ -15,7 +15,8 @@ candidates that the chain from the file's start visits. Pieces between two kept
 one, whose payload is put together from them.
 
 Defined results: a null payload counts as empty; a file whose chain breaks yields its records up to the break;
-an empty table gives no records; ids are unique per row (rows repeating an id and payload are one record).
+an empty table gives no records; every row is a record, also one that repeats an id, with the same payload or another; a
+row without an id is a response that nothing refers to, named `null` in the archive.
 """
 
 from __future__ import annotations
@@ -40,19 +41,21 @@ def plan_records(df: DataFrame, record_id: str, payload: str, revisit_bytes: int
 def write_warc(df: DataFrame, path: str, record_id: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write a record of each row under a folder of .warc files."""
     # staged, so that Spark knows its size: under the broadcast threshold payloads stay where they are, beyond it both sides are shuffled
-    revisits = stage(plan_records(df, record_id, payload, revisit_bytes).where("refers_to is not null").select(F.col("id").alias("__id"), F.col("refers_to").alias("__to")).distinct(), "revisits")
-    name = lambda c: F.concat(F.lit("<urn:fathom:page:"), c.cast("string"), F.lit(">"))
+    plan = plan_records(df, record_id, payload, revisit_bytes).where("refers_to is not null")
+    revisits = stage(plan.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("bytes").alias("__bytes"), F.col("refers_to").alias("__to")).distinct(), "revisits")
+    name = lambda c: F.concat(F.lit("<urn:fathom:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     rows = df.select(F.col(record_id).alias("i"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"\s+", "").alias("u"), F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")).alias("p"))
-    rows = rows.join(revisits, F.col("i") == F.col("__id"), "left")
-    size, again = F.octet_length("p").cast("string"), F.col("__to").isNotNull()
+    rows = rows.withColumns({"d": F.sha1("p"), "n": F.octet_length("p").cast("long")})
+    rows = rows.join(revisits, (F.col("i") == F.col("__id")) & (F.col("d") == F.col("__digest")) & (F.col("n") == F.col("__bytes")), "left")
+    size, again = F.col("n").cast("string"), F.col("__to").isNotNull()
     head = F.concat(
         F.lit(f"{MAGIC}\r\nWARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), name(F.col("i")), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.col("u"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.sha1("p"), F.lit("\r\nX-Payload-Length: "), size,
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("d"), F.lit("\r\nX-Payload-Length: "), size,
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("__to")))).otherwise(""),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.when(again, "0").otherwise(size), F.lit(END),
     )
     record = F.concat(head, F.when(again, "").otherwise(F.col("p").cast("string")))
-    rows.where("i is not null").select(record.alias("value")).write.option("lineSep", END).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +78,8 @@ def candidates(raw: DataFrame) -> DataFrame:
     own = F.expr("sha1(substring(cast(value as binary), start + 1, int(clen)))")
     name = lambda f: F.regexp_extract(field(f), r"<urn:fathom:page:(-?[0-9]+)>", 1)
     return rows.select(
-        "file", "split", "n", "len", "start", "clen", whole.alias("whole"), F.when(whole, own).alias("digest"), field("WARC-Type").alias("type"), name("WARC-Record-ID").alias("record_id"), name("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("uri")
+        "file", "split", "n", "len", "start", "clen", whole.alias("whole"), F.when(whole, own).alias("digest"), field("WARC-Type").alias("type"), name("WARC-Record-ID").alias("record_id"), name("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("uri"),
+        F.nullif(F.regexp_extract(field("WARC-Payload-Digest"), r"^sha1:([0-9a-f]{40})\s*$", 1), F.lit("")).alias("declared"),
     )
 
 
@@ -111,7 +115,7 @@ def reachable(edges: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, off, type, record_id, refers_to, uri, n_bytes, digest) of each verified record; n_bytes and digest are of the payload it holds."""
+    """(file, off, type, record_id, refers_to, uri, n_bytes, digest, declared) of each verified record; n_bytes and digest are of the payload it holds, declared is its header's digest."""
     gap = len(MAGIC)
     at = offsets(stage(candidates(pieces(spark, path)), "pieces"))
     at = stage(at.withColumn("nxt", F.col("off") + gap + F.col("start") + F.col("clen") + len(END)), "offsets")
@@ -122,7 +126,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     out = kept.where("whole")
     if not kept.where("not whole").isEmpty():
         out = out.unionByName(put_together(spark, path, at, kept))
-    return out.select("file", "off", "type", F.col("record_id").cast("long").alias("record_id"), F.when(F.col("refers_to") != "", F.col("refers_to")).cast("long").alias("refers_to"), "uri", F.col("clen").alias("n_bytes"), "digest")
+    number = lambda c: F.when(F.col(c) != "", F.col(c)).cast("long").alias(c)
+    return out.select("file", "off", "type", number("record_id"), number("refers_to"), "uri", F.col("clen").alias("n_bytes"), "digest", "declared")
 
 
 def put_together(spark: SparkSession, path: str, at: DataFrame, kept: DataFrame) -> DataFrame:
@@ -139,9 +144,11 @@ def put_together(spark: SparkSession, path: str, at: DataFrame, kept: DataFrame)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Records with the size and digest of their full payload: a revisit's are those of the response that it refers to."""
-    heads = records.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("n_bytes").alias("__n"), F.col("digest").alias("__d"))
-    again = records.where("type = 'revisit'").join(heads, "refers_to").select(*[F.col("__n").alias("n_bytes") if c == "n_bytes" else F.col("__d").alias("digest") if c == "digest" else F.col(c) for c in records.columns])
+    """Records with the size and digest of their full payload: a revisit's are those of a response of the id that it refers to, with the digest that it declares."""
+    heads = records.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("digest").alias("declared"), F.col("n_bytes").alias("__n")).distinct()
+    # staged, so that the join reads it as a table of its own and may split the revisits of one common payload
+    again = records.where("type = 'revisit'").join(stage(heads, "heads"), ["refers_to", "declared"])
+    again = again.select(*[F.col("__n").alias("n_bytes") if c == "n_bytes" else F.col("declared").alias("digest") if c == "digest" else F.col(c) for c in records.columns])
     return records.where("type = 'response'").unionByName(again)
 
 

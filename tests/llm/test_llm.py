@@ -261,6 +261,16 @@ def test_warc_with_magic_inside(spark, tmp_path):
     assert len(got) == len(rows)
 
 
+def test_warc_null_and_repeated_ids(spark):
+    a, b, c = "a" * 1500, "b" * 1500, "c" * 1500
+    rows = [(7, a), (7, b), (9, a), (9, a), (9, c), (5, a), (None, a), (None, b), (None, None), (None, "n")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    got = [(r.record_id, r.n_bytes, r.digest, r.type, r.refers_to) for r in warc_round_trip(df).collect()]
+    to = {(7, a): 9, (5, a): 9}
+    want = [(i, len(h or ""), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if (i, h) in to else "response", to.get((i, h))) for i, h in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_warc_small_splits_and_breaks(spark, tmp_path):
     rng = random.Random(10)
     df = spark.createDataFrame([(i, "u", prose(rng, rng.randint(0, 300))) for i in range(200)], "page_id long, url string, html string").coalesce(1)
