@@ -13,10 +13,12 @@ bounded and no text is shuffled. Written is one row per packed sequence:
     ids binary                  the matrix row: `length` little-endian ids of `width` bytes, the rest filled with `pad`
     cu_seqlens array<int>       0 and the end of each segment: cumulative segment lengths
     resets array<int>           where position ids start again at 0: each segment's start and that of the filling
-    doc_ids, piece array        document and piece number of each segment
+    doc_ids, pieces array       document and piece number of each segment
+    ordinals array<int>         number of each segment's document within the shard
 
 Defined results: null and empty texts have no ids and appear as segments of length 0; an empty table writes an empty
-table; rows that repeat a doc_id are documents of their own that share a name, told apart by `copy` (the hash of the text).
+table; rows that repeat a doc_id, or all of a row, are documents of their own that share a name, told apart by shard and ordinal;
+`copy` is the hash of the text.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,29 +100,29 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[tuple[int, int]]:
 def pack_shard(docs: list[tuple], length: int, pad: int, width: int) -> list[dict]:
     """Packed rows of (doc_id, copy, ids) documents."""
     pieces = []
-    for doc, copy, ids in docs:
-        pieces += [(doc, copy, p, ids[a : a + length]) for p, a in enumerate(range(0, max(1, len(ids)), length))]
-    places = best_fit_decreasing([len(p[3]) for p in pieces], length)
+    for o, (doc, copy, ids) in enumerate(docs):
+        pieces += [(doc, copy, p, o, ids[a : a + length]) for p, a in enumerate(range(0, max(1, len(ids)), length))]
+    places = best_fit_decreasing([len(p[4]) for p in pieces], length)
     rows = max((r for r, _ in places), default=-1) + 1
     matrix = np.full((rows, length), pad, f"<u{width}")
     held: list[list[tuple]] = [[] for _ in range(rows)]
-    for (r, s), (doc, copy, p, ids) in zip(places, pieces):
+    for (r, s), (doc, copy, p, o, ids) in zip(places, pieces):
         matrix[r, s : s + len(ids)] = ids
-        held[r].append((s, s + len(ids), doc, copy, p))
+        held[r].append((s, s + len(ids), doc, copy, p, o))
     out = []
     for r, segs in enumerate(held):
         segs.sort(key=lambda x: (x[0], x[1]))
         ends = [e for _, e, *_ in segs]
         resets = [s for s, e, *_ in segs if e > s] + ([ends[-1]] if ends[-1] < length else [])
-        out.append({"row": r, "ids": matrix[r].tobytes(), "cu_seqlens": [0, *ends], "resets": resets, "doc_ids": [x[2] for x in segs], "copies": [x[3] for x in segs], "pieces": [x[4] for x in segs]})
+        out.append({"row": r, "ids": matrix[r].tobytes(), "cu_seqlens": [0, *ends], "resets": resets, "doc_ids": [x[2] for x in segs], "copies": [x[3] for x in segs], "pieces": [x[4] for x in segs], "ordinals": [x[5] for x in segs]})
     return out
 
 
 PACKED = T.StructType([
     T.StructField("shard", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())), T.StructField("resets", T.ArrayType(T.IntegerType())),
-    T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("copies", T.ArrayType(T.LongType())), T.StructField("pieces", T.ArrayType(T.IntegerType())),
+    T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("copies", T.ArrayType(T.LongType())), T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("ordinals", T.ArrayType(T.IntegerType())),
 ])
-_ARROW = pa.schema([("shard", pa.string()), ("row", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
+_ARROW = pa.schema([("shard", pa.string()), ("row", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("ordinals", pa.list_(pa.int32()))])
 
 
 def pack_documents(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", length: int = 2048, end_id: int | None = None, pad: int = 0, shard_tokens: int = 4 << 20) -> DataFrame:
@@ -133,11 +136,13 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "
 
         coder = tiktoken.Encoding("packed", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
         held: list[tuple] = []
-        size = 0
+        size = shards = 0
+        task = TaskContext.get().partitionId()
 
         def flush():
             rows = pack_shard(held, length, pad, width)
-            name = uuid.uuid5(uuid.NAMESPACE_OID, repr((held[0][:2], held[-1][:2], len(held), size))).hex
+            # the place in the input tells shards of equal documents apart, and is the same when a task runs again
+            name = uuid.uuid5(uuid.NAMESPACE_OID, repr((task, shards, held[0][:2], held[-1][:2], len(held), size))).hex
             for at in range(0, len(rows), 512):
                 part = rows[at : at + 512]
                 yield pa.RecordBatch.from_pylist([{"shard": name, **r} for r in part], schema=_ARROW)
@@ -150,7 +155,7 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "
                     ids = np.append(ids, np.array([end_id], ids.dtype))
                 if held and size + len(ids) > shard_tokens:
                     yield from flush()
-                    held, size = [], 0
+                    held, size, shards = [], 0, shards + 1
                 held.append((d, c, ids))
                 size += len(ids)
         if held:
@@ -161,18 +166,18 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "
 
 
 def unpack_documents(packed: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, copy, n_tokens, n_pieces, ids): every document's packed ids, put together from its segments.
+    """(doc_id, copy, shard, ordinal, piece, ids, n): every document's packed ids by piece; see documents_of.
 
     Documents of one piece, nearly all, are cut out where they stand; only split ones are shuffled."""
-    one = packed.select("ids", F.posexplode(F.arrays_zip("doc_ids", "copies", "pieces", F.slice("cu_seqlens", 1, F.size("doc_ids")).alias("start"), F.slice("cu_seqlens", 2, F.size("doc_ids")).alias("end"))).alias("i", "s"))
-    cut = one.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.copies").alias("copy"), F.col("s.pieces").alias("piece"), F.expr(f"substring(ids, s.start * {width} + 1, (s.end - s.start) * {width})").alias("ids"), F.expr("s.end - s.start").cast("long").alias("n"))
+    one = packed.select("shard", "ids", F.posexplode(F.arrays_zip("doc_ids", "copies", "pieces", "ordinals", F.slice("cu_seqlens", 1, F.size("doc_ids")).alias("start"), F.slice("cu_seqlens", 2, F.size("doc_ids")).alias("end"))).alias("i", "s"))
+    cut = one.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.copies").alias("copy"), "shard", F.col("s.ordinals").alias("ordinal"), F.col("s.pieces").alias("piece"), F.expr(f"substring(ids, s.start * {width} + 1, (s.end - s.start) * {width})").alias("ids"), F.expr("s.end - s.start").cast("long").alias("n"))
     return cut
 
 
 def documents_of(cut: DataFrame, length: int) -> DataFrame:
     """Documents from their pieces; a piece numbered 0 that does not fill a row is a whole document."""
     whole = cut.where((F.col("piece") == 0) & (F.col("n") < length)).select("doc_id", "copy", F.col("n").alias("n_tokens"), F.lit(1).cast("long").alias("n_pieces"), "ids")
-    parts = cut.where((F.col("piece") > 0) | (F.col("n") >= length)).groupBy("doc_id", "copy").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_pieces"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("ps"))
+    parts = cut.where((F.col("piece") > 0) | (F.col("n") >= length)).groupBy("shard", "ordinal", "doc_id", "copy").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_pieces"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("ps"))
     joined = F.aggregate(F.col("ps.ids"), F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x))
     return whole.union(parts.select("doc_id", "copy", "n_tokens", "n_pieces", joined.alias("ids")))
 

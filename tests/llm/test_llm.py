@@ -109,6 +109,23 @@ def test_packing_round_trip(spark):
     assert pack_round_trip(empty(spark), path, P.PATTERN).count() == 0
 
 
+def test_packing_of_long_repeats(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    from fathom.llm.packing import load_ranks
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    coder = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    long = prose(random.Random(14), 400)
+    df = spark.createDataFrame([(1, long)] * 3 + [(None, long)] * 2 + [(2, long), (1, "one two")], "doc_id long, text string")
+    want = sorted(((str(r.doc_id), len(ids := coder.encode_ordinary(r.text)), -(-len(ids) // 64), np.array(ids, "<u2").tobytes()) for r in df.collect()))
+    for parts, shard in [(1, 4 << 20), (1, 100), (7, 4 << 20)]:  # repeats in one shard, in shards of their own, in tasks of their own
+        packed = pack_documents(df.repartition(parts), path, P.PATTERN, length=64, shard_tokens=shard)
+        got = documents_of(unpack_documents(packed), 64).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, r.n_pieces, bytes(r.ids)) for r in got) == want
+
+
 def test_best_fit_equals_a_scan():
     rng = random.Random(1)
     sizes, rooms = [rng.randint(0, 100) for _ in range(400)], []
