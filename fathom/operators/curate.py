@@ -4,24 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from .graph import components
+from .graph import _cut, components
 
 
-def similar_pairs(df: DataFrame, threshold: float, key: str, column: str, shard: str | Sequence[str], most: int = 20000) -> DataFrame:
-    """(a, b, similarity) of rows of one shard whose cosine reaches the threshold, a < b.
+#: Vectors in a block, about; blocks are compared in slices of so many rows, and pairs leave in batches of so many.
+BLOCK, SLICE, BATCH = 4096, 512, 1 << 16
 
-    All pairs of a shard are compared, so a shard over `most` rows is refused; shard finer, or index first."""
-    by = [shard] if isinstance(shard, str) else list(shard)
-    rows = df.where(F.col(column).isNotNull()).select(*by, key, F.col(column).alias("v"))
-    worst = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if worst > most:
+
+def _cosine_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
+    """Batches (rows of x, rows of y, similarity) that reach the threshold or are NaN; of one block only pairs of a row and a later one."""
+    nx, ny = (np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) for m in (x, y))
+    for at in range(0, len(x), SLICE):
+        n = nx[at : at + SLICE, None] * ny
+        likely = ~(np.where(n == 0, 0.0, x[at : at + SLICE] @ y.T / np.where(n == 0, 1.0, n)) < threshold - 1e-9)
+        i, j = np.nonzero(np.triu(likely, at + 1) if same else likely)
+        for b in range(0, len(i), BATCH):
+            p, q = i[b : b + BATCH] + at, j[b : b + BATCH]
+            m = nx[p] * ny[q]
+            # summed in the order of the components, as fn.cosine does
+            yield p, q, np.where(m == 0, 0.0, np.cumsum(x[p] * y[q], axis=1)[:, -1] / np.where(m == 0, 1.0, m))
+
+
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """Vectors as rows, filled with zeros up to the width: products then run over the common length."""
+    sizes = np.asarray(vectors.value_lengths(), np.int64)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = np.asarray(vectors.flatten(), float)
+    return out
+
+
+def _sharded(df: DataFrame, column: str, shard: str | Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    by = [] if shard is None else [shard] if isinstance(shard, str) else list(shard)
+    rows = df.where(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull()))
+    for c in by:
+        rows = rows.where(F.col(c).isNotNull())
+    return rows, by
+
+
+def similar_pairs(df: DataFrame, threshold: float, key: str, column: str, shard: str | Sequence[str] | None = None, most: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity) of rows whose cosine reaches the threshold, a < b: of all rows, or with `shard` of rows that share its values, null none.
+
+    Every block of rows meets every block of its shard as matrices, so a shard may have any size; one over `most` rows is refused where that is given."""
+    rows, by = _sharded(df, column, shard)
+    rows = rows.select(F.struct(*by, F.lit(0).alias("__all")).alias("s"), F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"))
+    worst = rows.groupBy("s").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most is not None and worst > most:
         raise ValueError(f"a shard of {worst} rows; all-pairs comparison takes up to {most}")
-    x, y = rows.withColumnRenamed(key, "a").withColumnRenamed("v", "x"), rows.withColumnRenamed(key, "b").withColumnRenamed("v", "y")
-    return x.join(y, by).where("a < b").select("a", "b", fn.cosine(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    n = max(1, -(-worst // block))
+    dealt = rows.withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n)).cast("int"))
+    blocks = dealt.groupBy("s", "at").agg(F.collect_list(F.struct("id", "v")).alias("r")).select("s", "at", F.col("r.id").alias("ids"), F.col("r.v").alias("vs"))
+    # the blocks of a pair meet under the pair's own key
+    x = blocks.select("s", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.lit(n - 1))).alias("j"), F.col("ids").alias("xi"), F.col("vs").alias("xv"))
+    y = blocks.select("s", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.col("ids").alias("yi"), F.col("vs").alias("yv"))
+    met = x.join(y, ["s", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "xi", "xv", "yi", "yv")
+
+    def run(batches):
+        for batch in batches:
+            for same, xi, xv, yi, yv in zip(*(batch.column(c) for c in range(5))):
+                width = max([1, *xv.values.value_lengths().to_pylist(), *yv.values.value_lengths().to_pylist()])
+                for p, q, sim in _cosine_pairs(_matrix(xv.values, width), _matrix(yv.values, width), threshold, same.as_py()):
+                    yield pa.RecordBatch.from_arrays([xi.values.take(pa.array(p)), yi.values.take(pa.array(q)), pa.array(sim)], names=["x", "y", "similarity"])
+
+    kind = df.schema[key].dataType.simpleString()
+    found = met.mapInArrow(run, f"x {kind}, y {kind}, similarity double")
+    return found.where((F.col("x") != F.col("y")) & (F.col("similarity") >= threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def similar_links(df: DataFrame, threshold: float, key: str, column: str, shard: str | Sequence[str] | None = None) -> DataFrame:
+    """(a, b): links with the components of similar_pairs; equal vectors of a shard are linked to the first of them, which alone is compared."""
+    rows, by = _sharded(df, column, shard)
+    rows = rows.select(*by, key, column)
+    firsts = _cut(rows.groupBy(*by, column).agg(F.min(key).alias("a")))
+    alike = rows.join(firsts, [*by, column]).where((F.col(key) != F.col("a")) & (fn.cosine(F.col(column), F.col(column)) >= threshold))
+    return similar_pairs(firsts.withColumnRenamed("a", key), threshold, key, column, shard).select("a", "b").union(alike.select("a", F.col(key).alias("b")))
 
 
 def representatives(df: DataFrame, pairs: DataFrame, key: str, policy: Sequence[Column]) -> DataFrame:

@@ -83,7 +83,7 @@ def near_dup_pairs(spark, sf_dir):
 g AS (SELECT a AS vec_id, min(b) AS "group" FROM r GROUP BY 1) SELECT vec_id, "group", vec_id = max(vec_id) OVER (PARTITION BY "group") AS kept FROM g""")
 def near_dup_groups(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return cu.representatives(e, cu.similar_pairs(e, 0.35, "vec_id", "embedding", "label"), "vec_id", [F.desc("vec_id")])
+    return cu.representatives(e, cu.similar_links(e, 0.35, "vec_id", "embedding", "label"), "vec_id", [F.desc("vec_id")])
 
 
 @query("stratified_sample", "SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) <= 2")

@@ -4,6 +4,7 @@ import io
 import json
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,35 @@ def test_curation_of_scenarios(spark):
         cu.similar_pairs(df, 0.9, "id", "v", "shard", most=3)
 
 
+def brute_pairs(ids, x, t):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return {(min(ids[i], ids[at + j]), max(ids[i], ids[at + j])) for at in range(0, len(u), 500) for i, j in zip(*np.nonzero(u @ u[at : at + 500].T >= t)) if i != at + j}
+
+
+def test_pairs_of_a_large_shard(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20100, 8)).round(3)
+    x[20000:] = x[:100] * 2
+    df = spark.createDataFrame([(i, v, "s") for i, v in enumerate(x.tolist())], "id long, v array<double>, shard string")
+    got = [(r.a, r.b) for r in cu.similar_pairs(df, 0.999, "id", "v", "shard").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(range(20100), x, 0.999)
+
+
+def test_pairs_across_shards(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    x[200:] = x[0]
+    df = spark.createDataFrame([(i, v, None if i % 3 == 0 else i % 3) for i, v in enumerate(x.tolist())] + [(900, None, 1), (901, [0.0] * 4, 1)], "id long, v array<double>, label int")
+    want = brute_pairs(range(300), x, 0.9)
+    got = [(r.a, r.b) for r in cu.similar_pairs(df, 0.9, "id", "v", block=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    got = {(r.a, r.b) for r in cu.similar_pairs(df, 0.9, "id", "v", "label", block=40).collect()}
+    assert got == {(a, b) for a, b in want if a % 3 == b % 3 != 0}
+    for shard in (None, "label"):
+        one, two = (cu.representatives(df, f(df, 0.9, "id", "v", shard), "id", [F.desc("id")]) for f in (cu.similar_pairs, cu.similar_links))
+        assert sorted(one.collect()) == sorted(two.collect())
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in gr.components(edges).collect()}
