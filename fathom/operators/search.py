@@ -90,5 +90,28 @@ def diversify(ranked: DataFrame, limit: int, threshold: float, key: str, column:
     return listed.select(F.posexplode(taken).alias("position", "r")).select(F.col("r.id").alias(key), "position")
 
 
+def diverse_nearest(df: DataFrame, vector: Sequence[float], limit: int, threshold: float, key: str, column: str) -> DataFrame:
+    """(key, position): the walk of diversify over the whole table in order of distance, null vectors last.
+
+    The next row taken is the first one behind the last that is like none taken: `limit` rounds, each a map over the rows and a map-side-combined minimum."""
+    q, v = F.array(*[F.lit(float(x)) for x in vector]), F.col("v")
+    d = F.round(fn.l2_distance(F.col(column), q), 9)
+    rows = df.select(F.struct(d.isNull().alias("far"), F.coalesce(d, F.lit(0.0)).alias("d"), F.col(key).alias("id")).alias("at"), F.col(column).cast("array<double>").alias("v"))
+    taken: list = []
+    while len(taken) < limit:
+        left = rows
+        if taken:
+            far, dist, last = taken[-1].at
+            left = left.where(F.col("at") > F.struct(F.lit(far).alias("far"), F.lit(dist).alias("d"), F.lit(last).cast(df.schema[key].dataType).alias("id")))
+        for t in taken:
+            if t.v is not None:
+                left = left.where(~F.coalesce(fn.cosine(v, F.array(*map(F.lit, t.v))) >= threshold, F.lit(False)))
+        best = left.agg(F.min(F.struct("at", "v")).alias("b")).first().b
+        if best is None:
+            break
+        taken.append(best)
+    return df.sparkSession.createDataFrame([(t.at.id, i) for i, t in enumerate(taken)], f"{key} {df.schema[key].dataType.simpleString()}, position int")
+
+
 def recall(exact: DataFrame, approx: DataFrame, on: Sequence[str]) -> DataFrame:
     return exact.select(*on).distinct().join(approx.select(*on, F.lit(1).alias("__h")).distinct(), list(on), "left").agg(F.count("*").alias("n"), F.count("__h").alias("found")).withColumn("recall", F.col("found") / F.col("n"))

@@ -66,9 +66,7 @@ def hybrid_rrf(spark, sf_dir):
 w AS (SELECT 1 AS p, [1]::INT[] AS kept UNION ALL SELECT w.p + 1, CASE WHEN len(kept) >= 10 OR EXISTS (SELECT 1 FROM c x, c y WHERE list_contains(kept, x.p) AND y.p = w.p + 1 AND list_cosine_similarity(x.v, y.v) >= 0.3) THEN kept ELSE list_append(kept, (w.p + 1)::INT) END FROM w WHERE w.p < (SELECT max(p) FROM c))
 SELECT vec_id, (list_position(kept, c.p) - 1)::INT AS position FROM (SELECT kept FROM w ORDER BY p DESC LIMIT 1) k JOIN c ON list_contains(kept, c.p)""")
 def diversify_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    top = se.nearest(e, _seed(spark, sf_dir), 64).join(e, "vec_id")
-    return se.diversify(top, 10, 0.3, "vec_id", "embedding", [F.round("distance", 9), "vec_id"])
+    return se.diverse_nearest(table(spark, sf_dir, "embeddings"), _seed(spark, sf_dir), 10, 0.3, "vec_id", "embedding")
 
 
 PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE similarity >= 0.35)"

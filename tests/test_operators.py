@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from fathom.functions import scalars as fn
 from fathom.operators import curate as cu
 from fathom.operators import graph as gr
+from fathom.operators import search as se
 from fathom.operators import timeline as tl
+from fathom.plans import catalog  # noqa: F401
+from fathom.queries import QUERIES
 from fathom.sources import formats as fm
 from fathom.sources.lake import Lake, LakeError
 from fathom.streaming import streams as st
@@ -102,6 +105,16 @@ def test_pairs_across_shards(spark):
         assert sorted(one.collect()) == sorted(two.collect())
 
 
+def test_diversify_beyond_near_copies(spark, tmp_path):
+    x = np.eye(16)[[0] * 200 + list(range(1, 13))] + 0.001
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(999, None)], "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.position: r.vec_id for r in QUERIES["diversify_topk"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0, **{i: 199 + i for i in range(1, 10)}}
+    every = se.diverse_nearest(df, [1.0, *[0.0] * 15], 15, 0.3, "vec_id", "embedding")
+    assert [r.vec_id for r in every.orderBy("position").collect()] == [0, *range(200, 212), 999]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in gr.components(edges).collect()}
