@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths of staged tables by session, oldest first, so that a caller may drop those it no longer reads.
-_STAGED: dict[str, list[str]] = {}
+#: Where the paths of staged tables are noted, so that a caller may drop those that its own calls have left; see staged_here.
+_NOTED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, one of our own if all run on this machine, else an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "/tmp/checkpoints/fathom"
         spark.conf.set("spark.checkpoint.dir", root)
         sc.setCheckpointDir(root)
@@ -24,7 +29,8 @@ def shared_root(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (noted := _NOTED.get()) is not None:
+        noted.append(path)
     return path
 
 
@@ -47,25 +53,29 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def unstage(*tables: DataFrame) -> None:
     """Drop staged tables that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_staged_at", None)
-        if path:
-            delete_path(df.sparkSession, path)
-            mine = _STAGED.get(df.sparkSession.sparkContext.applicationId, [])
-            if path in mine:
-                mine.remove(path)
+        if path := getattr(df, "_staged_at", None):
+            drop_staged(df.sparkSession, [path])
 
 
-def staged_mark(spark: SparkSession) -> list[str]:
-    """The staged tables that exist now; see drop_staged."""
-    return list(_STAGED.get(spark.sparkContext.applicationId, []))
+@contextmanager
+def staged_here() -> Iterator[list[str]]:
+    """The paths that calls inside stage and leave behind, for drop_staged; those of other callers are not among them."""
+    mine: list[str] = []
+    token = _NOTED.set(mine)
+    try:
+        yield mine
+    finally:
+        _NOTED.reset(token)
+        if (outer := _NOTED.get()) is not None:
+            outer += mine
 
 
 def drop_staged(spark: SparkSession, paths: list[str]) -> None:
-    mine = _STAGED.get(spark.sparkContext.applicationId, [])
-    for path in paths:
+    noted = _NOTED.get()
+    for path in list(paths):
         delete_path(spark, path)
-        if path in mine:
-            mine.remove(path)
+        if noted is not None and path in noted:
+            noted.remove(path)
 
 
 def crc_bucket(column: str | Column, n: int) -> Column:
@@ -74,8 +84,17 @@ def crc_bucket(column: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def mean_text_partitions(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartition(parts)
+def col(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """The name, with as many underscores after it as no column of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -4,25 +4,25 @@ A document's set is its distinct shingles of five words (words: runs of characte
 space, A-Z lower-cased; under five words the whole sequence is the one shingle). Documents are linked if
 their sets' Jaccard similarity reaches the threshold, 0.75.
 
-1. One pass computes each set's size, a 64-bit identity pair, a MinHash signature of 128 values and 32 band keys
+1. One pass computes each set's size, a 128-bit identity, a MinHash signature of 128 values and 32 band keys
    of four values: two sets at 0.75 share none with odds of (1 - 0.75^4)^32 = 5e-6, more similar ones less.
-2. Documents of equal sets are one node, the smallest doc_id, from a map-side-combined minimum: copies never meet.
+2. Rows of equal sets are one node, named by its first row, from a map-side-combined minimum: copies never meet.
 3. Candidates. A star first: in each bucket every node meets the bucket's centre, the node whose bands are the
-   most crowded (of a family of near copies that is the one that most resemble), and its least node. The links
-   found are joined into components, and only buckets that still hold several are looked at again: there each node
-   outside the largest component is compared by signature with the nodes of other components, in tiles of bounded size,
-   and meets the few most alike; after two such rounds, whatever pairs of different components are left. (Buckets of
-   up to 16 nodes list their pairs of different components at once, 120 at most.) Pairs
-   inside a component need no test: they can't change it. So a large family costs a few rows per member, pairs of
-   a bucket are never listed, only those that pass the signatures' test, and no link between components is lost.
+   most crowded (of a family of near copies that is the one that most resemble), and one more. That is every pair of a
+   bucket of up to three. The links found are joined into components, and larger buckets that still hold several are looked
+   at again: there each node outside the largest component meets the nodes of all other components, in tiles of
+   bounded size. Pairs inside a component need no test: they can't change it.
 4. Verification. A pair's signatures are compared in batches; after each, the pair is dropped if the posterior
    odds that its similarity reaches the threshold, given the matches so far and a uniform prior, are under
-   `miss`. Survivors are confirmed on the full sets, exactly.
-5. Components by large-star / small-star rounds.
-
-Defined results: null or empty texts have empty sets, are linked with nothing and are their own component; a
-null doc_id is a node of its own only through its copies' smallest id; rows that repeat a doc_id are resolved
-by their own text. Extra columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
+   `miss`. Survivors are confirmed on the full sets, exactly: those of the stars by a join, those of a tile where they
+   are. A tile gives only links that join components that it hasn't joined yet, a forest: never more than it has nodes.
+5. Components by large-star / small-star rounds. So a large family costs a few rows per member, its pairs are listed
+   nowhere, and no link between components is lost.
+
+Defined results: null or empty texts have empty sets, are linked with nothing and are their own component; rows
+without an id take part, and a component of such rows alone has no id; rows that repeat a doc_id are each resolved by their own text, and all those
+with a component's id count as kept in `near_duplicates`, while `drop_near_duplicates` leaves one. Extra columns are ignored
+by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, stage, unstage
+from .common import col, connected_components, stage, unstage, unused
 
 PERMUTATIONS, BANDS, BATCH = 128, 32, 16
-#: Nodes of a bucket in a tile, about; buckets of up to SMALL nodes are paired by a join.
-TILE, SMALL = 1024, 16
+#: Shingles in a block of a tile, about, each node counting 64 more: bounds a task's memory.
+TILE = 1 << 18
 #: Distinct shingles signed at a time: bounds memory for very long texts.
 SIGN_ROWS = 2048
 
@@ -87,8 +87,8 @@ def signature(s: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, n, k1, k2, sig, keys) of each row; k1 and k2 identify the set, keys are its band keys."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(id, rk, n, k1, k2, sig, keys) of each row; rk hashes the text, k1 and k2 identify the set, keys are its band keys."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("rk", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         import xxhash
@@ -98,7 +98,7 @@ def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             n, k1, k2, sigs, keys = [], [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingle_set(t.as_py())
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
@@ -114,9 +114,9 @@ def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 else:
                     sigs.append(None)
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("rk"), col(text).alias("t")).mapInArrow(run, schema)
 
 
 def least_matches(threshold: float, miss: float, n: int = PERMUTATIONS, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -137,7 +137,7 @@ def least_matches(threshold: float, miss: float, n: int = PERMUTATIONS, batch: i
     return out
 
 
-def bayes_survivors(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
+def bayes_survivors(pairs: DataFrame, sets: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Candidate pairs (a, b) whose signatures leave a chance of at least `miss` at every batch."""
     needs = least_matches(threshold, miss)
 
@@ -152,121 +152,184 @@ def bayes_survivors(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: f
                 left, at = left[hits[left] >= m], c
             yield batch.select(["a", "b"]).take(pa.array(left))
 
-    one, two = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    one, two = sets.select(F.col("node").alias("a"), F.col("sig").alias("x")), sets.select(F.col("node").alias("b"), F.col("sig").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    return stage(confirmed(stage(pairs, "survivors"), docs, doc_id, text, threshold), "links")
+def shared_sizes(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of the sorted set x each of the other sets holds."""
+    ends = np.cumsum([len(o) for o in others])
+    flat = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], ends])])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """Pairs whose full sets reach the threshold; only the texts of documents in a pair are read again into sets."""
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
     up = round(threshold * 100)
 
-    def sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "s"])
-
     def run(batches):
         for batch in batches:
             keep = []
             for i, (p, q) in enumerate(zip(batch.column(2), batch.column(3))):
                 p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (p, q))
                 if 100 * min(len(p), len(q)) >= up * max(len(p), len(q)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    both = int(shared_sizes(p, [q])[0])
                     if 100 * both >= up * (len(p) + len(q) - both):
                         keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    ids = pairs.select(F.col("a").alias("__n")).union(pairs.select("b")).distinct()
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    found = rows.join(ids, rows.id == F.col("__n"), "left_semi").mapInArrow(sets, "id long, s binary")
-    one, two = found.select(F.col("id").alias("a"), F.col("s").alias("p")), found.select(F.col("id").alias("b"), F.col("s").alias("q"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    one, two = sets.select(F.col("node").alias("a"), F.col("s").alias("p")), sets.select(F.col("node").alias("b"), F.col("s").alias("q"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+
+class Forest:
+    """Union-find over the component labels of a tile."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while (p := self.up.get(c, c)) != c:
+            self.up[c] = c = self.up.get(p, p)
+        return c
+
+    def join(self, c: int, d: int) -> bool:
+        c, d = self.root(c), self.root(d)
+        self.up[max(c, d)] = min(c, d)
+        return c != d
+
+
+def tile_links(ids, comp, asks, answers, sig, sets, needs, up: int) -> list[tuple[int, int]]:
+    """Links between the asking and the answering nodes of a tile that join its components: at most one less than those are.
+
+    Each asking node meets the answering ones of other components: signatures batch by batch while the posterior allows, then
+    the full sets of the survivors, the most alike first. What a link has joined is not looked at again."""
+    forest, out, sizes = Forest(), [], np.array([len(s) for s in sets])
+    turn = np.full(len(ids), -1)  # pairs of two asking nodes are tested once
+    for k, x in enumerate(np.flatnonzero(asks)):
+        turn[x] = k
+        label = np.array([forest.root(c) for c in comp.tolist()])
+        y = np.flatnonzero(answers & (label != label[x]) & ~((turn >= 0) & answers[x]) & (100 * np.minimum(sizes, sizes[x]) >= up * np.maximum(sizes, sizes[x])))
+        hits, at = np.zeros(len(y), np.int64), 0
+        for c, m in needs:
+            hits = hits + (sig[y, at:c] == sig[x, at:c]).sum(axis=1)
+            live = hits >= m
+            y, hits, at = y[live], hits[live], c
+        y, step = y[np.lexsort((ids[y], -hits))], 4
+        while len(y):
+            now, y = y[:step], y[step:]
+            both = shared_sizes(sets[x], [sets[i] for i in now])
+            for i in now[100 * both >= up * (sizes[x] + sizes[now] - both)]:
+                if forest.join(int(comp[x]), int(comp[i])):
+                    out.append((int(ids[x]), int(ids[i])))
+            mine = forest.root(int(comp[x]))
+            y, step = y[[forest.root(int(comp[i])) != mine for i in y]] if len(y) else y, min(4 * step, 256)
+    return out
 
 
-def tile_pairs(mixed: DataFrame, sigs: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
-    """(a, b) of nodes of different components that share a bucket and pass the test of their signatures; of each node the `most` most alike in a tile, or all.
+def tiled_links(mixed: DataFrame, sets: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(a, b) of confirmed links that join the components of each bucket.
 
-    mixed: (key, id, c). A bucket is cut into tiles of about TILE nodes by a hash of the node, and each two tiles meet in a group of their own."""
-    needs = least_matches(threshold, miss)
-    ends, least = np.array([c for c, _ in needs]), np.array([m for _, m in needs])
+    mixed: (key, node, w, c, outside), w the node's weight, outside telling the nodes that are not in the bucket's largest component; only these ask.
+    A bucket is cut into blocks of about TILE of weight by a hash of the node, the asking nodes and all nodes each on their own; an asking
+    block and an answering block meet in a tile. Buckets of one tile are put together by a hash."""
+    needs, up = least_matches(threshold, miss), round(threshold * 100)
 
     def run(t: pa.Table) -> pa.Table:
-        ids, comp, side = (t.column(c).to_numpy() for c in ("id", "c", "t"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        names, counts = np.unique(comp, return_counts=True)
-        out = []
-        for x in np.flatnonzero(comp != names[counts.argmax()]):
-            others = comp != comp[x]
-            if i != j:
-                others &= side != side[x]
-            y = np.flatnonzero(others)
-            hits = np.zeros(len(y), np.int64)
-            at = 0
-            for c, m in zip(ends, least):  # batch by batch, while the posterior allows
-                hits = hits + (sig[y, at:c] == sig[x, at:c]).sum(axis=1)
-                live = hits >= m
-                y, hits, at = y[live], hits[live], c
-            if most is not None and len(y) > most:
-                best = np.lexsort((ids[y], -hits))[:most]
-                y, hits = y[best], hits[best]
-            out += [(min(ids[x], ids[k]), max(ids[x], ids[k])) for k in y]
-        out = sorted(set(out))
-        return pa.table({"a": pa.array([int(p) for p, _ in out], pa.int64()), "b": pa.array([int(q) for _, q in out], pa.int64())})
-
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    rows = mixed.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "c").join(sigs, "id")
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6, closest: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable over links, kept tells that row.
-
-    closest: how many of the most alike nodes each one meets in the rounds before the last, which has no such bound."""
-    sk = stage(sketch_table(docs, doc_id, text), "sketch")
-    nodes = sk.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    mine = sk.join(nodes.withColumnRenamed("node", "id"), ["k1", "k2", "id"], "left_semi").where("id is not null")
-    sigs = mine.select("id", "sig")
-    every = mine.select("id", F.explode("keys").alias("key")).distinct()
+        t = t.sort_by([("key", "ascending"), ("node", "ascending")])
+        keys, nodes = (t.column(c).to_numpy() for c in ("key", "node"))
+        own = np.ones(len(keys), bool)  # rows that repeat a node count once
+        own[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        t = t.filter(pa.array(own))
+        keys, nodes, comp, asks, answers = (t.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "c", "asks", "answers"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(keys), -1)
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in t.column("s")]
+        ends = [*np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+        out, a = [], 0
+        for b in ends:
+            out += tile_links(nodes[a:b], comp[a:b], asks[a:b], answers[a:b], sig[a:b], sets[a:b], needs, up)
+            a = b
+        return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+
+    sizes = mixed.groupBy("key").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tm"), F.ceil(F.sum(F.when(F.col("outside"), F.col("w"))) / TILE).cast("int").alias("tu"))
+    pools = max(1, int(mixed.agg(F.sum("w")).first()[0] or 0) // TILE)
+    mb, ub = F.pmod(F.xxhash64("node"), F.col("tm")).cast("int"), F.when(F.col("outside"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("tu"))).cast("int")
+    rows = mixed.join(sizes, "key").withColumn("mb", mb).withColumn("ub", ub)
+    answer = F.transform(F.sequence(F.lit(0), F.col("tu") - 1), lambda i: F.struct(i.alias("i"), F.col("mb").alias("j")))
+    ask = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("tm") - 1), lambda j: F.struct(F.col("ub").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    rows = rows.withColumn("g", F.explode(F.array_union(answer, ask)))
+    alone = (F.col("tm") == 1) & (F.col("tu") == 1)
+    rows = rows.select(F.when(alone, F.pmod(F.xxhash64("key"), F.lit(pools))).otherwise(F.col("key")).alias("pool"), alone.alias("alone"), F.col("g.i").alias("i"), F.col("g.j").alias("j"), "key", "node", "c", (F.col("outside") & (F.col("ub") == F.col("g.i"))).alias("asks"), (F.col("mb") == F.col("g.j")).alias("answers"))
+    return rows.join(sets, "node").groupBy("pool", "alone", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, repeats: bool, doc_id: str, text: str) -> DataFrame:
+    """(node, sig, s): the full sets, as sorted hashes, of the texts that wanted (node, id, rk, sig) asks for."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], names=["node", "sig", "s"])
+
+    rows = docs.select(col(doc_id).cast("long").alias("i"), F.xxhash64(col(text)).alias("k"), col(text).alias("t"))
+    rows = rows.join(wanted, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("rk"))).select("node", "sig", "t")
+    return (rows.dropDuplicates(["node"]) if repeats else rows).mapInArrow(run, "node long, sig binary, s binary")
+
+
+def near_rows(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, id, rk, n, family, component_id) of every row; family tells components apart, null for empty sets."""
+    sk = stage(sketch_table(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    nodes = stage(sk.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("low"), F.min("n").alias("n"), F.min_by("keys", "row").alias("keys")), "nodes")
+    every = nodes.select("node", "n", F.explode("keys").alias("key"))
     crowd = every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = stage(every.join(crowd, "key"), "buckets")
-    fame = buckets.groupBy("id").agg(F.sum("m").alias("fame"))
-    heads = buckets.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", -F.col("id"))).alias("h"), F.min("id").alias("least"))
-    met = buckets.join(heads, "key").select("id", F.explode(F.array(-F.col("h.col2"), F.col("least"))).alias("o")).where("id <> o")
-    pairs = stage(met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "pairs")
-    links, tried = confirmed_links(bayes_survivors(pairs, sigs, threshold, miss), docs, doc_id, text, threshold), pairs
-    comps = stage(connected_components(links), "components")
-    for turn, most in enumerate((closest, closest, None)):
-        now = buckets if turn == 0 else buckets.where(F.col("m") > SMALL)  # small buckets are done with after one turn
-        now = now.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "m", "id", F.coalesce("component", "id").alias("c"))
-        several = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        mixed = stage(now.join(several, "key", "left_semi"), "mixed")
-        found = tile_pairs(mixed.where(F.col("m") > SMALL), sigs, threshold, miss, most)
-        if turn == 0:
-            x, y = (mixed.where(F.col("m") <= SMALL).select("key", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
-            few = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-            found = found.union(bayes_survivors(few, sigs, threshold, miss)).distinct()
-        pairs = stage(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = confirmed_links(pairs, docs, doc_id, text, threshold)
-        tried = tried.union(pairs)
-        if more.isEmpty():
-            continue
-        links = links.union(more)
-        comps = stage(connected_components(links), "components")
-    unstage(buckets)
-    of_node = nodes.join(comps, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("c"))
-    out = sk.select("id", "n", "k1", "k2").join(of_node, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")))
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, one of each component, all columns as they were. An id goes if none of its rows is kept."""
-    found = near_duplicates(docs, threshold, doc_id=doc_id, text=text)
-    gone = found.groupBy("id").agg(F.bool_or("kept").alias("any")).where("not any").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    fame = buckets.groupBy("node").agg(F.sum("m").alias("fame"))
+    heads = buckets.join(fame, "node").groupBy("key").agg(-F.max(F.struct("fame", (-F.col("node")).alias("neg"))).getField("neg"), F.min("node").alias("least"), F.max("node").alias("most")).toDF("key", "centre", "least", "most")
+    heads = heads.select("key", "centre", F.when(F.col("centre") != F.col("least"), F.col("least")).otherwise(F.col("most")).alias("other"))
+    met = buckets.join(heads, "key").select("node", F.explode(F.array("centre", "other")).alias("o")).where("node <> o")
+    pairs = stage(met.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct(), "pairs")
+    repeats = not sk.groupBy("id", "rk").count().where("count > 1").isEmpty()
+    wanted = sk.select("row", "id", "rk", "sig").join(buckets.select("node").distinct(), F.col("row") == F.col("node"))
+    sets = stage(full_sets(docs, wanted.select("node", "id", "rk", "sig"), repeats, doc_id, text), "sets")
+    survivors = stage(bayes_survivors(pairs, sets, threshold, miss), "survivors")
+    links = stage(confirmed(survivors, sets, threshold), "links")
+    unstage(pairs, survivors)
+    comps = connected_components(links)
+    # the stars have tested all pairs of buckets of up to three nodes
+    now = buckets.where("m > 3").join(comps.toDF("node", "component"), "node", "left").select("key", "node", (F.col("n") + 64).alias("w"), F.coalesce("component", "node").alias("c"))
+    now = stage(now, "labelled")
+    by = now.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = stage(now.join(by.select("key", F.col("top.c").alias("largest")), "key").select("key", "node", "w", "c", (F.col("c") != F.col("largest")).alias("outside")), "mixed")
+    more = stage(tiled_links(mixed, sets, threshold, miss), "links")
+    unstage(buckets, now, mixed, sets)
+    if not more.isEmpty():
+        comps = connected_components(links.union(more))
+    families = nodes.select("node", "low").join(comps.toDF("node", "component"), "node")
+    families = stage(families.join(families.groupBy("component").agg(F.min("low").alias("smallest")), "component").select("node", "component", "smallest"), "families")
+    unstage(links, more)
+    of_set = nodes.select("k1", "k2", "node", "low").join(families, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("family"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("smallest")).alias("c"))
+    out = sk.select("row", "id", "rk", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left")
+    return out.select("row", "id", "rk", "n", "family", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable over links, kept tells the rows of that id."""
+    rows = near_rows(docs, threshold, miss, doc_id, text)
+    return rows.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, one row of each component, all columns as they were: of the rows with the smallest id the first. Rows of empty sets all stay."""
+    rows = stage(near_rows(docs, threshold, miss, doc_id, text), "verdicts")
+    first = rows.where(F.col("component_id").eqNullSafe(F.col("id")) & (F.col("n") > 0)).groupBy("family").agg(F.min("row").alias("first"))
+    rows = rows.join(first, F.col("row") == F.col("first"), "left").withColumn("stays", F.col("first").isNotNull() | (F.col("n") == 0))
+    i, k, told = unused("i", docs), unused("k", docs), rows.groupBy("id", "rk").agg(F.bool_or("stays").alias("any"), F.bool_and("stays").alias("all"))
+    told = stage(told.where("not all").select(F.col("id").alias(i), F.col("rk").alias(k), F.col("any").alias("any")), "gone")
+    same = lambda t: col(doc_id).cast("long").eqNullSafe(t[i]) & (F.xxhash64(col(text)) == t[k])
+    out = docs.join(told, same(told), "left_anti")
+    again = told.where("any").drop("any")
+    if again.isEmpty():
+        return out
+    names = [unused("id_", docs), unused("hash_", docs)]
+    once = docs.withColumns({names[0]: col(doc_id).cast("long"), names[1]: F.xxhash64(col(text))}).join(again, same(again), "left_semi")
+    return out.unionByName(once.dropDuplicates(names).drop(*names))
