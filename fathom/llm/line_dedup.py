@@ -26,14 +26,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import col, stage, unused
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, rk, pos, h, at, words): the non-blank lines of each document; rk tells rows that share an id apart."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("rk"), F.split(F.col(text), "\n").alias("lines")).where(F.col("lines").isNotNull())
+    rows = docs.select(col(doc_id).alias("id"), F.xxhash64(col(text)).alias("rk"), F.split(col(text), "\n").alias("lines")).where(F.col("lines").isNotNull())
+    # repeats of a row are looked for by their ids and hashes alone, so that lines are shuffled by document, once
     lines = rows.select("id", "rk", F.posexplode("lines").alias("pos", "raw")).select("id", "rk", "pos", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line"))
     lines = lines.where(F.col("line") != "").select("id", "rk", "pos", F.xxhash64("line").alias("h"), F.size(F.split("line", r"[ \t\x0B\f\r]+")).alias("words"))
+    if rows.groupBy("id", "rk").agg(F.count("*").alias("m")).where("m > 1").isEmpty():
+        return lines
     return lines.groupBy("id", "rk", "pos").agg(F.min("h").alias("h"), F.min("words").alias("words"))
 
 
@@ -74,12 +77,13 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
     """The documents without later repeats of runs of lines of at least min_words words; `removed` counts the lines that went."""
-    gone = repeated_lines(docs, min_words, doc_id, text)
     names = [c for c in docs.columns if c != removed]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(text)).alias("__rk"), F.col(doc_id).alias("__id"))
-    gone = gone.select(F.col("id").alias("__gid"), F.col("rk").alias("__grk"), F.col("gone").alias("__gone"))
-    both = rows.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__rk") == F.col("__grk")), "left")
-    left = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i))
+    i, k, gone = unused("i", docs), unused("k", docs), unused("gone", docs)
+    cut = repeated_lines(docs, min_words, doc_id, text).select(F.col("id").alias(i), F.col("rk").alias(k), F.col("gone").alias(gone))
+    both = docs.select(*map(col, names)).join(cut, col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(col(text)) == F.col(k)), "left")
+    lines = F.split(col(text), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))  # by a hash set: linear, in order
+    left = F.transform(kept, lambda at: F.get(lines, at))
     rest = F.when(F.forall(left, lambda x: F.trim(x) == ""), "").otherwise(F.array_join(left, "\n"))
-    out = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest).alias(text)
-    return both.select(*[out if c == text else F.col(f"`{c}`") for c in names], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(removed))
+    out = F.when(F.col(gone).isNull(), col(text)).otherwise(rest).alias(text)
+    return both.select(*[out if c == text else col(c) for c in names], F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed))

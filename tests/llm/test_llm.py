@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fathom.llm import registry
 from fathom.llm.bpe import Encoder, encode_bpe, load_vocabulary, merge_piece
 from fathom.llm.common import connected_components
-from fathom.llm.decontaminate import decontaminate
+from fathom.llm.decontaminate import decontaminate, drop_contaminated, least_hits
 from fathom.llm.licenses import Automaton, scan_licenses
 from fathom.llm.line_dedup import dedup_lines
 from fathom.llm.near_dedup import drop_near_duplicates, least_matches, near_duplicates, shingle_set
@@ -200,6 +200,44 @@ def test_families_of_near_copies(spark):
     assert all(r.kept == (r.id == r.component_id) and r.n_shingles == len(sets[r.id]) for r in got.values())
 
 
+def brute_components(rows):
+    """Smallest id reachable from each id over links of all pairs, counted through a 0/1 matrix of shingles."""
+    sets = [shingle_set(t) for _, t in rows]
+    names = {h: i for i, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    m = np.zeros((len(rows), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[h] for h in s.tolist()]] = 1
+    size = m.sum(1)
+    both = m @ m.T
+    link = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    ids = np.array([i for i, _ in rows])
+    comp = ids.copy()
+    while True:
+        low = np.where(link, comp[None, :], np.iinfo(np.int64).max).min(1)
+        if (low == comp).all():
+            return dict(zip(ids.tolist(), comp.tolist()))
+        comp = low
+
+
+@pytest.mark.parametrize("tile", [1 << 13, None])
+def test_one_bucket_of_thousands(spark, monkeypatch, tile):
+    """A family whose members are alike enough to share buckets, many of them not linked with its centre."""
+    from fathom.llm import near_dedup
+
+    if tile:
+        monkeypatch.setattr(near_dedup, "TILE", tile)
+    rng = random.Random(16)
+    base, rows = prose(rng, 60).split(), []
+    for i in range(600 if tile else 2600):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 4])):
+            w[rng.randrange(60)] = rng.choice(WORDS)
+        rows.append((7000 - i, " ".join(w)))
+    want = brute_components(rows)
+    got = {r.id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
 def test_near_dedup_awkward(spark):
     got = near_duplicates(awkward(spark)).collect()
     assert len(got) == 8 and all(r.n_shingles == 0 and r.component_id == r.id for r in got if r.id in (1, 2, 5))
@@ -207,6 +245,19 @@ def test_near_dedup_awkward(spark):
     assert drop_near_duplicates(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    rng = random.Random(17)
+    a, b = prose(rng, 100), prose(rng, 100)
+    near = a + " more"
+    rows = [(5, a), (None, near), (5, b), (9, b), (7, a), (7, a), (None, "x y"), (None, "x y"), (1, None), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=repr)
+    want = [(5, 96, 5, True), (None, 97, 5, False), (5, 96, 5, True), (9, 96, 5, False), (7, 96, 5, False), (7, 96, 5, False), (None, 1, None, True), (None, 1, None, True), (1, 0, 1, True), (1, 0, 1, True)]
+    assert got == sorted(want, key=repr)
+    left = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(df).collect()), key=repr)
+    assert left == sorted([(5, a), (5, b), (None, "x y"), (1, None), (1, None)], key=repr)
+
+
 def test_pruning_bounds():
     for c, m in least_matches(0.75, 1e-7):
         assert 0 <= m < c * 0.75
@@ -236,6 +287,32 @@ def test_decontaminate_awkward(spark):
     assert decontaminate(empty(spark), items).count() == 0 and decontaminate(awkward(spark), items.limit(0)).count() == 0
 
 
+def test_decontaminate_null_ids_and_classes(spark):
+    rng = random.Random(18)
+    items = [(i, prose(rng, n)) for i, n in enumerate([5, 6, 9, 15, 20, 24, 40, 80, 300, 700])] + [(None, prose(rng, 30))]
+    cut = lambda t, share: " ".join(t.split()[: round(len(t.split()) * share)])
+    docs = [(None, f"{prose(rng, 500)} {items[4][1]}"), (None, prose(rng, 300)), (3, items[10][1]), (3, prose(rng, 90))]
+    docs += [(100 + 10 * i + j, f"{prose(rng, 900)} {cut(t, share)} {prose(rng, 900)}") for i, (_, t) in enumerate(items) for j, share in enumerate([0.6, 0.78, 0.9, 1.0])]
+    want = set()
+    for d, t in docs:
+        for i, it in items:
+            s, u = set(shingle_set(t).tolist()), set(shingle_set(it).tolist())
+            if len(s & u) >= 0.75 * len(u):
+                want.add((d, i, len(u), len(s & u)))
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate(ddf, idf).collect()} == want
+    left = {(r.doc_id, r.text) for r in drop_contaminated(ddf, idf).collect()}
+    assert left == {(d, t) for d, t in docs if not any(d == w[0] and len(set(shingle_set(t).tolist()) & set(shingle_set(dict(items)[w[1]]).tolist())) >= 0.75 * w[2] for w in want)}
+
+
+def test_least_hits():
+    from math import comb
+
+    for n in (16, 32):
+        m = least_hits(n, 0.75, 1e-6)
+        assert sum(comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(m)) < 1e-6 <= sum(comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(m + 1))
+
+
 # Top-k
 
 
