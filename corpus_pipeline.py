@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.llm.bpe import encode_bpe
-from fathom.llm.common import drop_staged, stage, staged_mark
-from fathom.llm.decontaminate import decontaminate
+from fathom.llm.common import col, drop_staged, stage, staged_here, unused
+from fathom.llm.decontaminate import drop_contaminated
 from fathom.llm.line_dedup import dedup_lines
 from fathom.llm.near_dedup import drop_near_duplicates
 from fathom.llm.quality import keep_good
@@ -26,20 +26,20 @@ def quality_stage(spark, docs, sf_dir):
 
 def line_stage(spark, docs, sf_dir):
     """Documents without later repeats of runs of lines; one that has lost every line goes."""
-    out = dedup_lines(docs, removed="__removed").where((F.col("__removed") == 0) | (F.col("text") != ""))
-    n = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+    cut = unused("removed", docs)
+    out = dedup_lines(docs, removed=cut).where((F.col(cut) == 0) | (F.col("text") != ""))
+    n = F.when(F.col(cut) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[n.alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def near_stage(spark, docs, sf_dir):
-    """One document of each group of near copies, the smallest id."""
+    """One document of each group of near copies, that of the smallest id."""
     return drop_near_duplicates(docs)
 
 
 def benchmark_stage(spark, docs, sf_dir):
     """Documents that hold no benchmark item."""
-    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs.doc_id == F.col("__hit"), "left_anti")
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark, docs, sf_dir):
@@ -47,12 +47,19 @@ def bpe_stage(spark, docs, sf_dir):
     return bpe_digests(encode_bpe(docs.select("doc_id", "text"), tokenizer_path(), decoded="decoded"))
 
 
+#: What the stage called last has left in the shared folder, by session: its result is written by the time the next one is called.
+_LEFT: dict[str, list[str]] = {}
+
+
 def _alone(work):
-    """The stage that first drops what earlier stages left in the shared folder: their results are written by then."""
+    """The stage that first drops what the stage before it, and nobody else, left in the shared folder."""
 
     def run_stage(spark, docs, sf_dir):
-        drop_staged(spark, staged_mark(spark))
-        return work(spark, docs, sf_dir)
+        drop_staged(spark, _LEFT.pop(spark.sparkContext.applicationId, []))
+        with staged_here() as mine:
+            out = work(spark, docs, sf_dir)
+        _LEFT[spark.sparkContext.applicationId] = mine
+        return out
 
     return run_stage
 
@@ -66,11 +73,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over documents, each result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for work in WORK[:-1]:
-        before = staged_mark(spark)
-        written = stage(work(spark, docs, sf_dir), work.__name__)
-        used = [p for p in staged_mark(spark) if p not in before and p != written._staged_at]
-        drop_staged(spark, used + ([docs._staged_at] if hasattr(docs, "_staged_at") else []))
-        docs = written
+        with staged_here() as mine:
+            written = stage(work(spark, docs, sf_dir), work.__name__)
+        drop_staged(spark, last + [p for p in mine if p != written._staged_at])
+        docs, last = written, [written._staged_at]
     return WORK[-1](spark, docs, sf_dir)
