@@ -81,9 +81,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", te
     i, k, gone = unused("i", docs), unused("k", docs), unused("gone", docs)
     cut = repeated_lines(docs, min_words, doc_id, text).select(F.col("id").alias(i), F.col("rk").alias(k), F.col("gone").alias(gone))
     both = docs.select(*map(col, names)).join(cut, col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(col(text)) == F.col(k)), "left")
-    lines = F.split(col(text), "\n")
+    # a column of its own, so that a text is split once and not for each of its lines; only texts that lose lines are
+    lines = unused("lines", both)
+    both = both.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(col(text), "\n")))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))  # by a hash set: linear, in order
-    left = F.transform(kept, lambda at: F.get(lines, at))
+    left = F.transform(kept, lambda at: F.get(F.col(lines), at))
     rest = F.when(F.forall(left, lambda x: F.trim(x) == ""), "").otherwise(F.array_join(left, "\n"))
     out = F.when(F.col(gone).isNull(), col(text)).otherwise(rest).alias(text)
     return both.select(*[out if c == text else col(c) for c in names], F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed))

@@ -316,18 +316,50 @@ def test_least_hits():
 # Top-k
 
 
-@pytest.mark.parametrize("scale", [1, 40, 10**7])
-def test_maxscore_equals_brute_force(scale):
+@pytest.mark.parametrize("scale,sparse", [(1, 0.0), (40, 0.0), (10**7, 0.0), (10**12, 0.5), (40, 0.9)])
+def test_maxscore_equals_brute_force(scale, sparse):
     rng = np.random.default_rng(scale)
-    x = rng.integers(-9 * scale, 9 * scale, (700, 12))
+    x = rng.integers(-9 * scale, 9 * scale, (700, 12)) * (rng.random((700, 12)) >= sparse)
     x[100:300] = x[100]
-    ids = np.arange(700) * 3
+    x[:, :3] *= 20
+    times, ids = rng.choice([1, 1, 1, 9], 700), np.arange(700) * 3
     q, qi = x[::50], ids[::50]
-    row, vec, score = maxscore(q, qi, x, ids, 5, step=64)
+    row, vec, score = maxscore(q.astype(float), qi, x.astype(float), ids, 5, times, step=64)
     for i in range(len(q)):
-        s = x @ q[i]
-        want = sorted((-int(s[j]), int(ids[j])) for j in range(700) if ids[j] != qi[i])[:5]
-        assert sorted((-int(b), int(a)) for r, a, b in zip(row, vec, score) if r == i) == want
+        s = [sum(int(a) * int(b) for a, b in zip(v, q[i])) for v in x]
+        want = sorted((-s[j], int(ids[j])) for j in range(700) if ids[j] != qi[i] for _ in range(min(5, times[j])))[:5]
+        assert [(-b, int(a)) for r, a, b in zip(row, vec, score) if r == i] == want
+
+
+def test_topk_of_many_blocks(spark, monkeypatch):
+    from fathom.llm import topk
+
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-60, 60, (900, 8))
+    x[300:500] = x[0]  # ties, and rows of one id
+    ids = np.concatenate([np.arange(800), np.full(100, 7)])
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, v array<double>")
+    got = sorted(map(tuple, top_k(df, df.where("vec_id % 50 = 0")).collect()))
+    want = []
+    for i in range(0, 800, 50):
+        best = sorted((-int(x[j] @ x[i]), int(ids[j])) for j in range(900) if ids[j] != i)[:5]
+        want += [(i, r + 1, v, -s) for r, (s, v) in enumerate(best)]
+    assert got == want
+
+
+def test_topk_of_large_components(spark):
+    rows = [(0, [3e30, 1.0]), (1, [2e30, 1.0]), (2, [2e30, 2.0]), (3, [-1e30, 0.0]), (50, [1e14, 3.0]), (60, [1e14, 4.0])]
+    v = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted(map(tuple, top_k(v, v.where("vec_id % 50 = 0"), 2).collect()))
+    exact = {i: [int(256 * c) for c in e] for i, e in rows}
+    dot = lambda a, b: sum(p * q for p, q in zip(exact[a], exact[b]))
+    want = []
+    for i in (0, 50):
+        best = sorted((-dot(i, j), j) for j in exact if j != i)[:2]
+        want += [(i, r + 1, j, min(-s, 2**63 - 1)) for r, (s, j) in enumerate(best)]
+    assert got == want
 
 
 def test_topk_awkward(spark):
