@@ -4,12 +4,14 @@ Features: densities of a lexicon (whole words, word stems, obfuscated spellings)
 capitals, punctuation and obfuscation rates, and lengths. The lexicon is a short fixed list of insults plus the
 words and stems that a part of the labelled rows shows to be toxic (every row with them is labelled so, or nearly).
 
-The labelled rows used are at most `rows`, chosen by a hash of the id, dealt by another hash to three parts: one gives
-the lexicon (counted on the executors), one the trees, one the calibration, so neither is fitted on what it was
-derived from. Only features reach the driver. Labels of held-out ids are never read.
+The labelled rows used are at most `rows`, chosen by a hash of the id, dealt by another hash to FOLDS parts. Each part's features come
+from a lexicon counted on the others (one pass on the executors counts all), and its scores for the calibration from
+trees grown on the others, so nothing is fitted on what it was derived from; the final lexicon and trees use all parts. A lexicon has at
+most `terms` learned words and stems, the most frequent ones: the model's size. Only features reach the driver. Labels of held-out ids are never read.
 
 Defined results: null and empty texts have the features of an empty text and get its score. Without both labels in the sample
-all scores are 0. Label rows are grouped by doc_id (the largest label counts).
+all scores are 0. Label rows are grouped by doc_id (the largest label counts); rows that repeat a doc_id count each. Other columns are kept, whatever their
+names; one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import col
+
 #: Plain insults in four languages, and second-person words.
 INSULTS = "idiot moron loser pathetic worthless scum clown trash disgusting stupid imbecile dumb dumbass jerk creep pig vermin filth bastard bitch retard dummkopf trottel abschaum widerlich idiota estúpido imbécil basura asqueroso crétin débile ordure minable".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted ustedes vosotros".split()
@@ -29,6 +33,7 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\W_]+(?:[@$!*'_-]+[^\W_]+)*", re.UNICODE)
 STEMS = (4, 5, 6)
 NAMES = ["word_rate", "stem_rate", "hidden_rate", "any_hit", "hits", "kinds", "near_you", "you_rate", "caps_rate", "shout_rate", "exclaim_rate", "mark_rate", "digit_in_word", "stretched", "word_length", "log_words"]
+FOLDS = 5
 STRETCH = re.compile(r"(\w)\1\1")
 
 
@@ -36,33 +41,46 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def lexicon_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
-    """(term, pos, n): in how many rows, and in how many of label 1, each word and stem (marked with *) occurs."""
+def lexicon_counts(rows: DataFrame) -> DataFrame:
+    """(term, pos, n): of each word and stem (marked with *), by fold, in how many rows and in how many of label 1 it occurs; rows are (t, y, fold)."""
 
     def run(batches):
         for batch in batches:
-            pos: dict[str, int] = {}
-            n: dict[str, int] = {}
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist()):
+            pos: dict[str, list[int]] = {}
+            n: dict[str, list[int]] = {}
+            for t, y, f in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 kinds = set(words_of(t.as_py()))
                 for w in kinds | {w[:k] + "*" for w in kinds for k in STEMS if len(w) > k}:
-                    n[w] = n.get(w, 0) + 1
+                    n.setdefault(w, [0] * FOLDS)[f] += 1
                     if y:
-                        pos[w] = pos.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([pos.get(w, 0) for w in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["term", "pos", "n"])
-
-    return docs.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).mapInArrow(run, "term string, pos long, n long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-
-
-def learn_lexicon(docs: DataFrame, text: str, label: str, terms: int = 2000) -> dict:
-    """The terms whose rows are toxic at least nine times in ten, the most telling first, with the fixed list."""
-    t = lexicon_counts(docs, text, label).where("pos >= 3 and pos >= 0.9 * n").orderBy(F.desc("pos"), "term").limit(terms).collect()
-    stems = sorted({r.term[:-1] for r in t if r.term.endswith("*")}, key=lambda s: (len(s), s))
-    short: set[str] = set()
-    for s in stems:  # a longer stem adds nothing to a shorter one
-        if not any(s[:k] in short for k in STEMS if k < len(s)):
-            short.add(s)
-    return {"words": frozenset(INSULTS) | {r.term for r in t if not r.term.endswith("*")}, "stems": frozenset(short)}
+                        pos.setdefault(w, [0] * FOLDS)[f] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([x[f] for x in n.values()], pa.int64()) for f in range(FOLDS)), *(pa.array([pos.get(w, [0] * FOLDS)[f] for w in n], pa.int64()) for f in range(FOLDS))], names=["term", *(f"n{f}" for f in range(FOLDS)), *(f"p{f}" for f in range(FOLDS))])
+
+    cols = [f"{c}{f}" for c in "np" for f in range(FOLDS)]
+    return rows.mapInArrow(run, "term string, " + ", ".join(f"{c} long" for c in cols)).groupBy("term").agg(*[F.sum(c).alias(c) for c in cols])
+
+
+def learn_lexicons(rows: DataFrame, terms: int) -> list[dict]:
+    """A lexicon without each fold and one with all: the terms whose rows are toxic at least nine times in ten, and the fixed list."""
+    n, p = (sum((F.col(f"{c}{f}") for f in range(1, FOLDS)), F.col(f"{c}0")) for c in "np")
+    telling = lambda n, p: (p >= 3) & (p >= 0.9 * n)
+    some = telling(n, p)
+    for f in range(FOLDS):
+        some = some | telling(n - F.col(f"n{f}"), p - F.col(f"p{f}"))
+    got = lexicon_counts(rows).where(some).orderBy(F.desc(p), "term").limit(terms).collect()
+    out = []
+    for skip in [*range(FOLDS), None]:
+        keep = []
+        for r in got:
+            m, q = (sum(r[f"{c}{f}"] for f in range(FOLDS) if f != skip) for c in "np")
+            if q >= 3 and q >= 0.9 * m:
+                keep.append(r.term)
+        short: set[str] = set()
+        for s in sorted({t[:-1] for t in keep if t.endswith("*")}, key=lambda s: (len(s), s)):  # a longer stem adds nothing to a shorter one
+            if not any(s[:k] in short for k in STEMS if k < len(s)):
+                short.add(s)
+        out.append({"words": frozenset(INSULTS) | {t for t in keep if not t.endswith("*")}, "stems": frozenset(short)})
+    return out
 
 
 def toxic_features(text: str | None, words: frozenset, stems: frozenset, you: frozenset) -> list[float]:
@@ -165,28 +183,33 @@ def fit_isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.array(ps)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, rows: int = 20000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, rows: int = 20000, terms: int = 4000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """A model from at most `rows` labelled rows; held_out is a Column that tells ids whose labels aren't read."""
-    marks = labels.select(F.col(doc_id).alias("__l"), F.col(label).alias("__y"), F.col(doc_id))
     if held_out is not None:
-        marks = marks.where(~held_out)
-    marks = marks.groupBy("__l").agg(F.max("__y").alias("__y")).where("__y is not null and __l is not null").orderBy(F.xxhash64("__l"), "__l").limit(rows)
-    part = F.pmod(F.xxhash64("__l", F.lit(2)), F.lit(10))
-    used = docs.join(F.broadcast(marks), F.col(doc_id) == F.col("__l")).select("__l", F.col(text).alias("__t"), "__y", part.alias("__part"))  # at most `rows` ids
-    lex = learn_lexicon(used.where("__part < 4"), "__t", "__y")
+        labels = labels.where(~held_out)
+    marks = labels.select(col(doc_id).alias("id"), col(label).alias("y")).groupBy("id").agg(F.max("y").alias("y")).where("y is not null and id is not null").orderBy(F.xxhash64("id"), "id").limit(rows)
+    fold = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(FOLDS)).cast("int")
+    texts = docs.select(col(doc_id).alias("d"), col(text).alias("t"))
+    used = texts.join(F.broadcast(marks), F.col("d") == F.col("id")).select("t", F.col("y").cast("int").alias("y"), fold.alias("fold"), "id")  # at most `rows` ids
+    lexicons = learn_lexicons(used.select("t", "y", "fold"), terms)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in _matrix(batch.column(3), lex).T)], names=["id", "y", "part", *NAMES])
-
-    got = used.where("__part >= 4").select(F.col("__l").alias("id"), F.col("__y").cast("long").alias("y"), F.col("__part").cast("long").alias("part"), "__t")
-    got = got.mapInArrow(run, "id long, y long, part long, " + ", ".join(f"{c} double" for c in NAMES)).orderBy("id", *NAMES).toPandas()
-    fit, cal = got[got.part < 8], got[got.part >= 8]
-    if fit.y.nunique() < 2:
-        return {"trees": None, "lex": lex}
-    trees = fit_trees(fit[NAMES].to_numpy(float), fit.y.to_numpy(float))
-    cal = cal if cal.y.nunique() == 2 else fit
-    return {"trees": trees, "iso": fit_isotonic(raw_score(trees, cal[NAMES].to_numpy(float)), cal.y.to_numpy(float)), "lex": lex}
+            folds = batch.column(2).to_numpy()
+            x = np.concatenate([_matrix(batch.column(0).slice(i, 1), lexicons[f]) for i, f in enumerate(folds)]) if len(folds) else np.empty((0, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c) for c in x.T)], names=["y", "fold", "id", *NAMES])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    got = used.mapInArrow(run, f"y int, fold int, id {kind}, " + ", ".join(f"{c} double" for c in NAMES)).orderBy("id", *NAMES).toPandas()
+    x, y, part = got[NAMES].to_numpy(float), got["y"].to_numpy(float), got["fold"].to_numpy()
+    if len(np.unique(y)) < 2:
+        return {"trees": None, "lex": lexicons[-1]}
+    z = np.zeros(len(y))
+    for f in range(FOLDS):
+        out = part == f
+        if out.any() and len(np.unique(y[~out])) == 2:
+            z[out] = raw_score(fit_trees(x[~out], y[~out]), x[out])
+    return {"trees": fit_trees(x, y), "iso": fit_isotonic(z, y), "lex": lexicons[-1]}
 
 
 def score_toxicity(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
@@ -194,7 +217,7 @@ def score_toxicity(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: s
 
     A thousandth of the uncalibrated probability is mixed in, so that ranks within a calibrated step are kept."""
     names = [c for c in docs.columns if c != score]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    kept = docs.select(*map(col, names))
     schema = T.StructType([*kept.schema.fields, T.StructField(score, T.DoubleType())])
     at = names.index(text)
 
