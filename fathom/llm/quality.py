@@ -14,7 +14,8 @@ Fitting reads at most `positives` and `unlabelled` rows, chosen by a hash of the
 driver's memory are bounded whatever the corpus; 16 numbers a row reach the driver.
 
 Defined results: null and empty texts have the features of an empty text and get its score. Without any labelled
-positive all scores are 0.5. Label rows are grouped by doc_id (the largest label counts).
+positive all scores are 0.5. Label rows are grouped by doc_id (the largest label counts); rows that repeat a doc_id count each. Other columns are kept, whatever
+their names; one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket
+from .common import col, crc_bucket, unused
 
 N_FEATURES = 16
 _UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
@@ -53,9 +54,8 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
-def features_table(docs: DataFrame, doc_id: str, text: str, more: list[str]) -> DataFrame:
-    """(id, *more, f0, f1, ...) of each row, in one pass without a shuffle."""
-    rows = docs.select(F.col(doc_id).alias("id"), *more, F.col(text).alias("t"))
+def features_table(rows: DataFrame) -> DataFrame:
+    """f0, f1, ... instead of t, the last column, of each row, in one pass without a shuffle."""
     schema = T.StructType([f for f in rows.schema.fields if f.name != "t"] + [T.StructField(f"f{i}", T.DoubleType()) for i in range(N_FEATURES)])
 
     def run(batches):
@@ -122,14 +122,15 @@ def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, held_out=None, positives: int = 12000, unlabelled: int = 12000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
     """A model from labelled positives and unlabelled rows; held_out is a Column that tells ids whose labels aren't read."""
-    marks = labels.select(F.col(doc_id).alias("__l"), F.col(label).alias("__y"), F.col(doc_id))
     if held_out is not None:
-        marks = marks.where(~held_out)
-    trusted = marks.groupBy("__l").agg(F.max("__y").alias("y")).where("y = 1 and __l is not null").orderBy(F.xxhash64("__l"), "__l").limit(positives).select("__l")
-    some = docs.select(F.col(doc_id).alias("__l")).where("__l is not null").orderBy(F.xxhash64("__l", F.lit(1)), "__l").limit(unlabelled)
-    chosen = trusted.select("__l", F.lit(1).alias("p")).union(some.select("__l", F.lit(0))).groupBy("__l").agg(F.max("p").alias("p"), F.min("p").alias("q"))
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("__l"))  # at most positives + unlabelled ids
-    got = features_table(rows, doc_id, text, ["p", "q"]).orderBy("id", "p", *[f"f{i}" for i in range(N_FEATURES)]).toPandas()
+        labels = labels.where(~held_out)
+    marks = labels.select(col(doc_id).alias("l"), col(label).alias("y")).groupBy("l").agg(F.max("y").alias("y"))
+    trusted = marks.where("y = 1 and l is not null").orderBy(F.xxhash64("l"), "l").limit(positives).select("l")
+    texts = docs.select(col(doc_id).alias("id"), col(text).alias("t"))
+    some = texts.select(F.col("id").alias("l")).where("l is not null").orderBy(F.xxhash64("l", F.lit(1)), "l").limit(unlabelled)
+    chosen = trusted.select("l", F.lit(1).alias("p")).union(some.select("l", F.lit(0))).groupBy("l").agg(F.max("p").alias("p"), F.min("p").alias("q"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("l"))  # at most positives + unlabelled ids
+    got = features_table(rows.select("id", "p", "q", "t")).orderBy("id", "p", *[f"f{i}" for i in range(N_FEATURES)]).toPandas()
     x = got[[f"f{i}" for i in range(N_FEATURES)]].to_numpy(float)
     is_p, is_u = got["p"].to_numpy() == 1, got["q"].to_numpy() == 0
     if not is_p.any() or not is_u.any():
@@ -146,7 +147,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out=None, positives: in
 def score_quality(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
     """The documents with the probability that each whole text is of good quality."""
     names = [c for c in docs.columns if c != score]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    kept = docs.select(*map(col, names))
     schema = T.StructType([*kept.schema.fields, T.StructField(score, T.DoubleType())])
     at = names.index(text)
 
@@ -162,7 +163,8 @@ def score_quality(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: st
     return kept.mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that the classifier does not reject, as they were."""
-    model = fit_quality(docs, labels, crc_bucket("doc_id", 5) == 0)
-    return score_quality(docs, model, score="__score").where(F.col("__score") >= cut).drop("__score")
+    model = fit_quality(docs, labels, crc_bucket(col(doc_id), 5) == 0, doc_id=doc_id, text=text)
+    score = unused("score", docs)
+    return score_quality(docs, model, doc_id, text, score).where(F.col(score) >= cut).select(*map(col, docs.columns))
