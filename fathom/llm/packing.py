@@ -10,6 +10,7 @@ A task packs its input in shards of at most `shard_tokens` tokens (a longer docu
 bounded and no text is shuffled. Written is one row per packed sequence:
 
     shard string, row int       place of the sequence: row `row` of the shard's id matrix
+    width int                   bytes of an id: 2 if all ids of the vocabulary fit, else 4
     ids binary                  the matrix row: `length` little-endian ids of `width` bytes, the rest filled with `pad`
     cu_seqlens array<int>       0 and the end of each segment: cumulative segment lengths
     resets array<int>           where position ids start again at 0: each segment's start and that of the filling
@@ -18,7 +19,7 @@ bounded and no text is shuffled. Written is one row per packed sequence:
 
 Defined results: null and empty texts have no ids and appear as segments of length 0; an empty table writes an empty
 table; rows that repeat a doc_id, or all of a row, are documents of their own that share a name, told apart by shard and ordinal;
-`copy` is the hash of the text.
+`copy` is the hash of the text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import col, stage
 
 #: The largest vocabulary file that is sent to the executors, in bytes.
 VOCABULARY_BYTES = 64 << 20
@@ -114,15 +115,15 @@ def pack_shard(docs: list[tuple], length: int, pad: int, width: int) -> list[dic
         segs.sort(key=lambda x: (x[0], x[1]))
         ends = [e for _, e, *_ in segs]
         resets = [s for s, e, *_ in segs if e > s] + ([ends[-1]] if ends[-1] < length else [])
-        out.append({"row": r, "ids": matrix[r].tobytes(), "cu_seqlens": [0, *ends], "resets": resets, "doc_ids": [x[2] for x in segs], "copies": [x[3] for x in segs], "pieces": [x[4] for x in segs], "ordinals": [x[5] for x in segs]})
+        out.append({"row": r, "width": width, "ids": matrix[r].tobytes(), "cu_seqlens": [0, *ends], "resets": resets, "doc_ids": [x[2] for x in segs], "copies": [x[3] for x in segs], "pieces": [x[4] for x in segs], "ordinals": [x[5] for x in segs]})
     return out
 
 
 PACKED = T.StructType([
-    T.StructField("shard", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())), T.StructField("resets", T.ArrayType(T.IntegerType())),
+    T.StructField("shard", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())), T.StructField("resets", T.ArrayType(T.IntegerType())),
     T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("copies", T.ArrayType(T.LongType())), T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("ordinals", T.ArrayType(T.IntegerType())),
 ])
-_ARROW = pa.schema([("shard", pa.string()), ("row", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("ordinals", pa.list_(pa.int32()))])
+_ARROW = pa.schema([("shard", pa.string()), ("row", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("ordinals", pa.list_(pa.int32()))])
 
 
 def pack_documents(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", length: int = 2048, end_id: int | None = None, pad: int = 0, shard_tokens: int = 4 << 20) -> DataFrame:
@@ -161,16 +162,16 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "
         if held:
             yield from flush()
 
-    rows = df.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("c"), F.col(text).alias("t"))
+    rows = df.select(col(doc_id).cast("long").alias("d"), F.xxhash64(col(text)).alias("c"), col(text).alias("t"))
     return rows.mapInArrow(run, PACKED)
 
 
-def unpack_documents(packed: DataFrame, width: int = 2) -> DataFrame:
+def unpack_documents(packed: DataFrame) -> DataFrame:
     """(doc_id, copy, shard, ordinal, piece, ids, n): every document's packed ids by piece; see documents_of.
 
     Documents of one piece, nearly all, are cut out where they stand; only split ones are shuffled."""
-    one = packed.select("shard", "ids", F.posexplode(F.arrays_zip("doc_ids", "copies", "pieces", "ordinals", F.slice("cu_seqlens", 1, F.size("doc_ids")).alias("start"), F.slice("cu_seqlens", 2, F.size("doc_ids")).alias("end"))).alias("i", "s"))
-    cut = one.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.copies").alias("copy"), "shard", F.col("s.ordinals").alias("ordinal"), F.col("s.pieces").alias("piece"), F.expr(f"substring(ids, s.start * {width} + 1, (s.end - s.start) * {width})").alias("ids"), F.expr("s.end - s.start").cast("long").alias("n"))
+    one = packed.select("shard", "width", "ids", F.posexplode(F.arrays_zip("doc_ids", "copies", "pieces", "ordinals", F.slice("cu_seqlens", 1, F.size("doc_ids")).alias("start"), F.slice("cu_seqlens", 2, F.size("doc_ids")).alias("end"))).alias("i", "s"))
+    cut = one.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.copies").alias("copy"), "shard", F.col("s.ordinals").alias("ordinal"), F.col("s.pieces").alias("piece"), F.expr("substring(ids, s.start * width + 1, (s.end - s.start) * width)").alias("ids"), F.expr("s.end - s.start").cast("long").alias("n"))
     return cut
 
 
