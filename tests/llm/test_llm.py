@@ -126,6 +126,17 @@ def test_packing_of_long_repeats(spark):
         assert sorted((str(r.doc_id), r.n_tokens, r.n_pieces, bytes(r.ids)) for r in got) == want
 
 
+def test_packing_of_wide_ids(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % (70_000 + b) for b in range(256)))
+    df = spark.createDataFrame([(1, "hello"), (2, "x" * 5000), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pack_round_trip(df, str(path), r"\S+|\s+").collect()}
+    for d, t in df.collect():
+        assert bytes(got[d].ids) == np.array([70_000 + ord(c) for c in t or ""], "<u4").tobytes() and got[d].n_tokens == len(t or "")
+
+
 def test_best_fit_equals_a_scan():
     rng = random.Random(1)
     sizes, rooms = [rng.randint(0, 100) for _ in range(400)], []
@@ -376,7 +387,7 @@ def test_topk_awkward(spark):
 
 def test_warc_with_magic_inside(spark, tmp_path):
     rng = random.Random(9)
-    trap = f"{MAGIC}\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    trap = f"{MAGIC}1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(1, None), (2, ""), (3, trap * 3), (4, "é" * 900), (5, "é" * 900), (6, prose(rng, 400) + trap + MAGIC), (7, MAGIC), (8, "x"), (9, "x"), (10, "é" * 900)]
     df = spark.createDataFrame([(i, f"http://h/{i}", h, "w") for i, h in rows], "page_id long, url string, html string, digest string").repartition(2)
     got = {r.record_id: r for r in warc_round_trip(df).collect()}
@@ -387,6 +398,18 @@ def test_warc_with_magic_inside(spark, tmp_path):
     assert len(got) == len(rows)
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Version 1.0, foreign ids, a request, a revisit of an unknown record, a broken end."""
+    body = "HTTP/1.1 200 OK\r\n\r\nWARC/1.1 WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rec = lambda kind, rid, payload, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{rid}>\r\n{more}content-length: {len(payload)}\r\n\r\n{payload}\r\n\r\n"
+    raw = rec("warcinfo", "a1", "software: x") + rec("response", "b2", body) + rec("revisit", "c3", "", "WARC-Refers-To: <urn:uuid:zz>\r\n") + rec("response", "d4", "cut")[:-9] + "x"
+    (tmp_path / "a.warc").write_bytes(raw.encode())
+    got = sorted((r.record_id, r.type, r.n_bytes, r.refers_to, r.digest) for r in read_warc(spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [("urn:uuid:a1", "warcinfo", 11, None, sha("software: x")), ("urn:uuid:b2", "response", len(body), None, sha(body)), ("urn:uuid:c3", "revisit", 0, "urn:uuid:zz", sha(""))]
+    assert got == want
+
+
 def test_warc_null_and_repeated_ids(spark):
     a, b, c = "a" * 1500, "b" * 1500, "c" * 1500
     rows = [(7, a), (7, b), (9, a), (9, a), (9, c), (5, a), (None, a), (None, b), (None, None), (None, "n")]
@@ -413,10 +436,77 @@ def test_warc_small_splits_and_breaks(spark, tmp_path):
 # Licenses
 
 
+def test_templates_equal_regular_expressions():
+    """Random templates with regions inside regions against the same wording as a regular expression, at every start and end."""
+    import re
+
+    rng = random.Random(20)
+
+    def part(depth):
+        kind = rng.random()
+        if kind < 0.5 or depth == 0:
+            w = rng.choice("abc")
+            return w + " ", f"{w} "
+        if kind < 0.8:
+            t, r = zip(*[part(depth - 1) for _ in range(rng.randint(1, 3))])
+            return f"<<beginOptional>>{''.join(t)}<<endOptional>>", f"(?:{''.join(r)})?"
+        least = rng.randint(0, 2)
+        m, q = rng.choice([(f".{{{least},{least + 1}}}", f"{{{least},{least + 1}}}"), (".+", "+"), (".*", "*")])
+        return f'<<var;name="v";original="o";match="{m}">>', rf"(?:\w ){q}"
+
+    for _ in range(400):
+        parts = [("a ", "a ")] + [part(2) for _ in range(rng.randint(1, 5))]
+        a, pattern = Automaton("".join(t for t, _ in parts)), re.compile("".join(r for _, r in parts))
+        for _ in range(5):
+            words = rng.choices("abcd", k=rng.randint(0, 12))
+            want = []
+            for i in range(len(words)):
+                ends = [j for j in range(i + 1, len(words) + 1) if pattern.fullmatch("".join(w + " " for w in words[i:j]))]
+                if ends and (not want or i >= want[-1][1]):
+                    want.append((i, ends[-1]))
+            got = a.spans([w.encode() for w in words])
+            # runs that meet go on as the earliest, so an acceptance may be told with that one's start alone
+            assert bool(got) == bool(want) and (not got or got[0][0] == want[0][0]), (pattern.pattern, words)
+            assert all(pattern.fullmatch("".join(w + " " for w in words[i:j])) for i, j in got)
+
+
+def test_license_texts_and_bad_markup():
+    from fathom.llm.licenses import BASE, BSD_NAMES, BSD_REST, BSD_TERMS, MIT_GRANT, MIT_REST, compile_templates, scan_text
+
+    import re
+
+    compiled = compile_templates()
+    plain = lambda t: re.sub(r'<<var;[^>]*original="([^"]*)"[^>]*>>', r"\1", re.sub(r"<<(begin|end)Optional>>", "", t))
+    labels = lambda t: {x[0] for x in scan_text(t, compiled, BASE)[3]}
+    mit, bsd = plain(MIT_GRANT + MIT_REST), plain(BSD_TERMS + BSD_NAMES + BSD_REST)
+    assert labels(f"Copyright me\n{mit} and so on") == {"MIT"} and labels(mit.replace("NONINFRINGEMENT", "OTHERS")) == set()
+    assert labels(mit.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "x " * 90)) == {"MIT"}
+    assert labels(bsd) == {"BSD-3-Clause"} and labels(plain(BSD_TERMS + BSD_REST)) == {"BSD-2-Clause"} and labels(bsd.replace("GOODS", "")) == set()
+    for bad in ('a <<var;name="x";original="o";match="[a-z]+">>', "a <<beginOptional>>b", "a <<endOptional>>", "<<beginOptional>>a <<endOptional>>b", ""):
+        with pytest.raises(ValueError):
+            Automaton(bad)
+
+
+def test_base_phrases_equal_brute_force(spark):
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in registry.queries()["op7_licenses"](spark, SF).collect()}
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    for d, text in docs.collect():
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        hits = sorted(i for p in phrases for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        base = {label for p, label in phrases.items() if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))}
+        r = got[d]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(hits), *((hits[0], hits[-1]) if hits else (None, None)), ",".join(sorted(base)))
+        assert base <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
 def test_template_markup(spark):
     a = Automaton('released <<beginOptional>>kindly <<endOptional>>by <<var;name="x";original="me";match=".{1,3}">> under MIT')
     for text, ok in [("released by me under mit", 1), ("released kindly by a b c under mit", 1), ("released by under mit", 0), ("released by a b c d under mit", 0), ("released so by me under mit", 0)]:
-        assert (a.match(text.encode().split(), 0) is not None) == bool(ok), text
+        assert bool(a.spans(text.encode().split())) == bool(ok), text
     rows = [(1, "Released under the MIT License."), (2, "the mit license, MIT-License!"), (3, None), (4, "Licensed under the Apache License, Version 2.0"), (5, "émit license")]
     got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == ["MIT", "mit"] and got[1].score == 1.0 and got[2].base_starts == [1, 3] and got[2].score == 0.5
