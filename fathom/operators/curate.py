@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from .graph import _cut, components
-
+from ..shared import stage
+from .graph import components
 
 #: Vectors in a block, about; blocks are compared in slices of so many rows, and pairs leave in batches of so many.
 BLOCK, SLICE, BATCH = 4096, 512, 1 << 16
@@ -80,7 +80,7 @@ def similar_links(df: DataFrame, threshold: float, key: str, column: str, shard:
     """(a, b): links with the components of similar_pairs; equal vectors of a shard are linked to the first of them, which alone is compared."""
     rows, by = _sharded(df, column, shard)
     rows = rows.select(*by, key, column)
-    firsts = _cut(rows.groupBy(*by, column).agg(F.min(key).alias("a")))
+    firsts = stage(rows.groupBy(*by, column).agg(F.min(key).alias("a")), "firsts")
     alike = rows.join(firsts, [*by, column]).where((F.col(key) != F.col("a")) & (fn.cosine(F.col(column), F.col(column)) >= threshold))
     return similar_pairs(firsts.withColumnRenamed("a", key), threshold, key, column, shard).select("a", "b").union(alike.select("a", F.col(key).alias("b")))
 

@@ -2,45 +2,45 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stage, unstage
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The table written to the shared checkpoint folder and read back; ends the plan's growth and survives executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "/tmp/checkpoints/fathom"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Levels after which the nodes seen are put into one table.
+MERGE = 12
 
 
-def reach(edges: DataFrame, roots: DataFrame, direction: str = "down", max_depth: int = 64, edge_filter: Column | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, direction: str = "down", max_depth: int | None = None, edge_filter: Column | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(node, depth) of all nodes reached from the roots (node), level by level: a frontier joined to the edges, minus the nodes seen.
 
-    edges (src, dst); nodes (node) limits what may be entered. As many rounds as levels; neither side is collected."""
+    edges (src, dst); nodes (node) limits what may be entered. As many rounds as there are levels, or max_depth if that is given; neither side is collected."""
     e = edges if edge_filter is None else edges.where(edge_filter)
     src, dst = ("src", "dst") if direction == "down" else ("dst", "src")
     e = e.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct()
     if nodes is not None:
         e = e.join(nodes.select(F.col("node").alias("to")).distinct(), "to", "left_semi")
-    seen = front = _cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
-        step = front.select("node").join(e, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = _cut(step.withColumn("depth", F.lit(depth)))
+    e = stage(e, "edges")
+    levels = [stage(roots.select("node").distinct().withColumn("depth", F.lit(0)), "level")]
+    seen, depth = levels[0], 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = levels[-1].select("node").join(e, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = stage(step.withColumn("depth", F.lit(depth)), "level")
         if front.isEmpty():
+            unstage(front)
             break
+        if len(levels) == MERGE:
+            merged = stage(seen, "seen")
+            unstage(*levels[:-1])
+            levels, seen = [merged], merged
+        levels.append(front)
         seen = seen.unionByName(front)
+    unstage(e)
     return seen
 
 
-def paths_to(edges: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 64) -> DataFrame:
+def paths_to(edges: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst): edges that lie on some path from a root to a target."""
     down = reach(edges, roots, "down", max_depth).select("node")
     up = reach(edges, targets, "up", max_depth).select("node")
@@ -49,17 +49,33 @@ def paths_to(edges: DataFrame, roots: DataFrame, targets: DataFrame, max_depth:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, by passing least labels along edges and jumping to the label's label."""
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("node"), "c"))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        far = labels.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        nxt = labels.join(near.withColumnRenamed("a", "node"), "node", "left").join(far, "c", "left").select("node", F.least("c", "m", "cc").alias("n"), "c")
-        nxt = _cut(nxt)
-        if nxt.where("n <> c").isEmpty():
-            return labels.withColumnRenamed("c", "component")
-        labels = nxt.select("node", F.col("n").alias("c"))
+    """(node, component): component is the smallest node reachable.
+
+    edges: (a, b) longs, in any direction, repeats allowed. Nodes without an edge are not returned.
+    Alternates large-star and small-star rounds until the edges stop changing; each round is a
+    map-side-combined minimum and a join, so a hub of any degree is never gathered in one task.
+    """
+    a, b = F.col("a"), F.col("b")
+    now = stage(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "cc")
+    sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.xxhash64("b", "a") % 998244353)).first())
+    last = sign(now)
+    while last[0]:
+        both = now.select(a, b).union(now.select(b.alias("a"), a.alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m0")).select(a.alias("u"), F.least("u", "m0").alias("m"))
+        large = both.join(low, both.a == low.u).where(b > a).select(b.alias("a"), F.col("m").alias("b"))
+        large = large.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+        floor = large.groupBy("a").agg(F.min("b").alias("m")).select(a.alias("u"), "m")
+        hung = large.join(floor, large.a == floor.u)
+        small = hung.select(b.alias("a"), F.col("m").alias("b")).union(floor.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = small.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+        nxt = stage(small, "cc")
+        got = sign(nxt)
+        unstage(now)
+        now = nxt
+        if got == last:
+            break
+        last = got
+    return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(now.select(b.alias("node"), b.alias("component")).distinct())
 
 
 def rebuild_plan(impact: DataFrame, kinds: DataFrame, policies: dict[str, str], fallback: str = "review") -> DataFrame:

@@ -10,17 +10,12 @@ from ..functions import scalars as fn
 from ..operators import training as tr
 from ..queries import query, table
 from ..sources import formats as fm
+from ..shared import staging_path as scratch
 from ..sources.lake import Lake
 from .distributions import FOLD
 from .timeline import OBS, observations
 
 
-def scratch(spark, tag: str) -> str:
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/fathom"
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 PERM = "p AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('plan|7|' || doc_id), doc_id) - 1 AS p0, count(*) OVER () AS n FROM documents)"
 
 

@@ -1,9 +1,11 @@
 """A small versioned lake of Parquet tables: immutable parts, one manifest file per version, tags, upserts, snapshots.
 
 Layout: <root>/<table>/parts/<id>/ holds Parquet files, <root>/<table>/versions/<n>.json lists the parts of version n.
-A commit writes its parts, then creates the next manifest exclusively through the Hadoop file system (which fails if
-another writer was first, so the commit is retried on the new version). Readers see whole versions only; reading an old one
-is reading its list. No state is kept on any machine.
+A commit writes its parts, then creates the next manifest exclusively through the Hadoop file system, which fails if
+another writer was first. An append is then tried on the new version as it is; a write that was computed from the old
+version (upsert, delete, a new column, compaction) is computed again from the new one, so no commit is ever lost. The store must
+create files exclusively (HDFS, ABFS, GCS and local disks do, S3A with conditional writes). Readers see whole versions only; reading
+an old one is reading its list. No state is kept on any machine.
 """
 
 from __future__ import annotations
@@ -42,11 +44,8 @@ class Files:
 
     def create(self, path: str, text: str, replace: bool = False) -> bool:
         """False if the file is there already and may not be replaced."""
-        p = self.Path(path)
-        if not replace and self.fs.exists(p):
-            return False
         try:
-            out = self.fs.create(p, replace)
+            out = self.fs.create(self.Path(path), replace)
         except Exception as e:  # noqa: BLE001  the JVM's exists-already error has several names
             if "exist" in str(e).lower():
                 return False
@@ -95,15 +94,30 @@ class Lake:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self._at(name, "parts", p) for p in m["parts"]])
 
-    def _commit(self, name: str, df: DataFrame, keep_parts, tries: int = 5) -> int:
+    def _put(self, name: str, version: int, parts: list[str], schema: T.StructType) -> bool:
+        return self.files.create(self._at(name, "versions", f"{version}.json"), json.dumps({"parts": parts, "schema": schema.jsonValue()}))
+
+    def _add(self, name: str, df: DataFrame, tries: int = 20) -> int:
+        """A part added to whatever version is the newest."""
         part = uuid.uuid4().hex
         df.write.parquet(self._at(name, "parts", part))
         for _ in range(tries):
-            have = self.versions(name)
-            old = self.manifest(name)["parts"] if have else []
-            n = (have[-1] if have else 0) + 1
-            if self.files.create(self._at(name, "versions", f"{n}.json"), json.dumps({"parts": [*(old if keep_parts else []), part], "schema": df.schema.jsonValue()})):
-                return n
+            m = self.manifest(name)
+            if T.StructType.fromJson(m["schema"]) != df.schema and [(f.name, f.dataType) for f in T.StructType.fromJson(m["schema"])] != [(f.name, f.dataType) for f in df.schema]:
+                raise LakeError(f"{name}: another writer changed the schema")
+            if self._put(name, m["version"] + 1, [*m["parts"], part], T.StructType.fromJson(m["schema"])):
+                return m["version"] + 1
+        raise LakeError(f"{name}: other writers committed {tries} times in between")
+
+    def _replace(self, name: str, build, tries: int = 5) -> int:
+        """A version computed from the newest one, computed again if that has moved by the time it is committed."""
+        for _ in range(tries):
+            base, part = self.manifest(name)["version"], uuid.uuid4().hex
+            df = build(self.table(name, base))
+            df.write.parquet(self._at(name, "parts", part))
+            if self._put(name, base + 1, [part], df.schema):
+                return base + 1
+            self.files.delete(self._at(name, "parts", part))
         raise LakeError(f"{name}: other writers committed {tries} times in between")
 
     def _checked(self, name: str, df: DataFrame) -> DataFrame:
@@ -113,15 +127,19 @@ class Lake:
         return df.select(want.names)
 
     def create(self, name: str, df: DataFrame) -> int:
-        if self.versions(name):
-            raise LakeError(f"{name} exists")
-        return self._commit(name, df, False)
+        part = uuid.uuid4().hex
+        if not self.versions(name):
+            df.write.parquet(self._at(name, "parts", part))
+            if self._put(name, 1, [part], df.schema):
+                return 1
+            self.files.delete(self._at(name, "parts", part))
+        raise LakeError(f"{name} exists")
 
     def append(self, name: str, df: DataFrame) -> int:
-        return self._commit(name, self._checked(name, df), True)
+        return self._add(name, self._checked(name, df))
 
     def overwrite(self, name: str, df: DataFrame) -> int:
-        return self._commit(name, df, False)
+        return self._replace(name, lambda old: df)
 
     def upsert(self, name: str, df: DataFrame, key: str | Sequence[str]) -> int:
         """Rows of known keys are replaced, others added; of several rows with one key the greatest counts."""
@@ -129,24 +147,40 @@ class Lake:
         new = self._checked(name, df)
         rest = [c for c in new.columns if c not in keys]
         one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(new.columns) if rest else new.distinct()
-        return self._commit(name, self.table(name).join(one.select(*keys), keys, "left_anti").select(new.columns).unionByName(one), False)
+        return self._replace(name, lambda old: old.join(one.select(*keys), keys, "left_anti").select(new.columns).unionByName(one))
+
+    def replace_by(self, name: str, df: DataFrame, key: str | Sequence[str]) -> int:
+        """All rows of the new rows' keys are replaced by the new rows, in one version."""
+        keys = [key] if isinstance(key, str) else list(key)
+        new = self._checked(name, df)
+        return self._replace(name, lambda old: old.join(new.select(*keys).distinct(), keys, "left_anti").select(new.columns).unionByName(new))
 
     def delete(self, name: str, condition: str) -> int:
-        return self._commit(name, self.table(name).where(f"not coalesce({condition}, false)"), False)
+        return self._replace(name, lambda old: old.where(f"not coalesce({condition}, false)"))
 
     def add_column(self, name: str, updates: DataFrame, key: str, column: str) -> int:
         """A column from a table of updates; rows without one keep their value, or null."""
-        base = self.table(name)
-        side = updates.select(F.col(key).alias("__k"), F.col(column).alias("__v"))
-        old = F.col(column) if column in base.columns else F.lit(None).cast(updates.schema[column].dataType)
-        out = base.join(side, base[key] == F.col("__k"), "left").withColumn("__new", F.coalesce("__v", old)).drop("__k", "__v", *([column] if column in base.columns else []))
-        return self._commit(name, out.withColumnRenamed("__new", column), False)
+
+        def build(base):
+            side = updates.select(F.col(key).alias("__k"), F.col(column).alias("__v"))
+            old = F.col(column) if column in base.columns else F.lit(None).cast(updates.schema[column].dataType)
+            out = base.join(side, base[key] == F.col("__k"), "left").withColumn("__new", F.coalesce("__v", old)).drop("__k", "__v", *([column] if column in base.columns else []))
+            return out.withColumnRenamed("__new", column)
+
+        return self._replace(name, build)
 
     def tag(self, name: str, tag: str, version: int | None = None) -> None:
         self.files.create(self._at(name, "tags", f"{tag}.json"), json.dumps({"version": self.manifest(name, version)["version"]}), replace=True)
 
     def compact(self, name: str, files: int = 8) -> int:
-        return self._commit(name, self.table(name).coalesce(files), False)
+        return self._replace(name, lambda old: old.coalesce(files))
+
+    def maintain(self, name: str, pins: Sequence[int] = (), files: int = 8, keep: int = 1) -> list[int]:
+        """Tag the pinned versions first, then compact, then drop what is neither tagged nor among the last. The versions dropped."""
+        for v in pins:
+            self.tag(name, f"pin-{v}", v)
+        self.compact(name, files)
+        return self.prune(name, keep)
 
     def prune(self, name: str, keep: int = 1) -> list[int]:
         """Drop all but the last `keep` versions and the tagged ones, and the parts that only they had."""
