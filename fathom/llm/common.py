@@ -1,81 +1,14 @@
-"""Shared pieces of the operators: staged tables in the shared folder, splits and small numeric helpers."""
+"""Shared pieces of the operators: staged tables in the shared folder, splits, names of columns."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where the paths of staged tables are noted, so that a caller may drop those that its own calls have left; see staged_here.
-_NOTED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset, one of our own if all run on this machine, else an error."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "/tmp/checkpoints/fathom"
-        spark.conf.set("spark.checkpoint.dir", root)
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def staging_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    if (noted := _NOTED.get()) is not None:
-        noted.append(path)
-    return path
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, sizes are known, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = staging_path(spark, tag)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._staged_at = path
-    return back
-
+from ..operators.graph import components
+from ..shared import delete_path, drop_staged, shared_root, stage, staged_here, staging_path, unstage
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Drop staged tables that nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "_staged_at", None):
-            drop_staged(df.sparkSession, [path])
-
-
-@contextmanager
-def staged_here() -> Iterator[list[str]]:
-    """The paths that calls inside stage and leave behind, for drop_staged; those of other callers are not among them."""
-    mine: list[str] = []
-    token = _NOTED.set(mine)
-    try:
-        yield mine
-    finally:
-        _NOTED.reset(token)
-        if (outer := _NOTED.get()) is not None:
-            outer += mine
-
-
-def drop_staged(spark: SparkSession, paths: list[str]) -> None:
-    noted = _NOTED.get()
-    for path in list(paths):
-        delete_path(spark, path)
-        if noted is not None and path in noted:
-            noted.remove(path)
+__all__ = ["col", "connected_components", "crc_bucket", "delete_path", "drop_staged", "shared_root", "stage", "staged_here", "staging_path", "unstage", "unused"]
 
 
 def crc_bucket(column: str | Column, n: int) -> Column:
@@ -98,30 +31,5 @@ def unused(name: str, *tables: DataFrame) -> str:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Component of each node: (node, component), component the smallest node reachable.
-
-    edges: (a, b) longs, in any direction, repeats allowed. Nodes without an edge are not returned.
-    Alternates large-star and small-star rounds until the edges stop changing; each round is a
-    map-side-combined minimum and a join, so a hub of any degree is never gathered in one task.
-    """
-    a, b = F.col("a"), F.col("b")
-    now = stage(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "cc")
-    sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.xxhash64("b", "a") % 998244353)).first())
-    last = sign(now)
-    while last[0]:
-        both = now.select(a, b).union(now.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m0")).select(a.alias("u"), F.least("u", "m0").alias("m"))
-        large = both.join(low, both.a == low.u).where(b > a).select(b.alias("a"), F.col("m").alias("b"))
-        large = large.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m")).select(a.alias("u"), "m")
-        hung = large.join(floor, large.a == floor.u)
-        small = hung.select(b.alias("a"), F.col("m").alias("b")).union(floor.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        small = small.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-        nxt = stage(small, "cc")
-        got = sign(nxt)
-        unstage(now)
-        now = nxt
-        if got == last:
-            break
-        last = got
-    return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(now.select(b.alias("node"), b.alias("component")).distinct())
+    """(node, component): component is the smallest node reachable. Nodes without an edge are not returned."""
+    return components(edges)
