@@ -6,9 +6,12 @@ import re
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Nanoseconds of each unit.
 _UNITS = {"ns": 1, "us": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9}
 
 
@@ -109,13 +112,72 @@ def pad_vector(a: Column, width: int) -> tuple[Column, Column]:
     return F.concat(F.transform(a, lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), n)), F.concat(F.transform(a, lambda x: F.lit(True)), F.array_repeat(F.lit(False), n))
 
 
+#: Parts of topic and schema names, and the modality that each hints at, the first that fits.
+HINTS = {"image": "image", "camera": "image", "imu": "imu", "lidar": "pointcloud", "pointcloud": "pointcloud", "point_cloud": "pointcloud", "gps": "gps", "gnss": "gps"}
+
+
 def modality(name: Column) -> Column:
-    """A hint from a topic's or schema's name."""
-    n = F.lower(name)
-    out = F.when(n.contains("image") | n.contains("camera"), "image")
-    for key, value in (("point", "point_cloud"), ("lidar", "point_cloud"), ("imu", "imu"), ("gps", "gps"), ("joint", "state"), ("odom", "odometry"), ("audio", "audio")):
-        out = out.when(n.contains(key), value)
-    return out.otherwise("unknown")
+    """A hint from a topic's or schema's name, else unknown."""
+    n, out = F.lower(name), F.lit("unknown")
+    for part, kind in reversed(HINTS.items()):
+        out = F.when(n.contains(part), kind).otherwise(out)
+    return out
+
+
+def timestamp_ns(value: Column, unit: str = "ns") -> Column:
+    """A time as whole nanoseconds: a number of the unit, exactly by decimals, or an ISO text in UTC; null for anything else."""
+    number = value.try_cast("decimal(28,9)") * F.lit(_UNITS[unit])
+    return F.coalesce(number.try_cast("long"), F.unix_micros(value.try_cast("timestamp")) * 1000)
+
+
+def ordered_distinct(a: Column, *more: Column) -> Column:
+    """The values of arrays put one after the other, each at its first place."""
+    return F.array_distinct(F.concat(a, *more))
+
+
+def image_embedding(data: Column, dim: int) -> Column:
+    """Byte means of dim equal stretches over 255, of unit length: a hashed picture of an image's bytes; null for null."""
+    @F.pandas_udf("array<double>")
+    def embed(batch: pd.Series) -> pd.Series:
+        def one(raw):
+            if raw is None:
+                return None
+            x = np.frombuffer(raw, np.uint8).astype(float)
+            cuts = np.arange(dim + 1) * len(x) // dim
+            v = np.array([x[a:b].mean() / 255 if b > a else 0.0 for a, b in zip(cuts, cuts[1:])])
+            n = np.sqrt((v**2).sum())
+            return (v / n if n else v).tolist()
+
+        return batch.map(one)
+
+    return embed(data)
+
+
+def demo_embedding(text: Column, dim: int) -> Column:
+    """A unit vector drawn from a text by SHA-256 in counter mode, eight numbers of 32 bits a block, each mapped to -1..1."""
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(-(-dim // 8) - 1)), lambda i: F.sha2(F.concat(text.cast("binary"), F.unhex(F.lpad(F.hex(i), 8, "0"))), 256))
+    flat = F.flatten(F.transform(blocks, lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.conv(F.substr(h, j * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2147483647.5 - 1)))
+    return l2_normalise(F.slice(flat, 1, dim))
+
+
+def image_caption(data: Column) -> Column:
+    """brightness, contrast and texture of an image from its first 8,192 bytes; 'empty,unknown-contrast,unknown-texture' without any."""
+    @F.pandas_udf("string")
+    def caption_of(batch: pd.Series) -> pd.Series:
+        def one(raw):
+            if raw is None:
+                return None
+            x = np.frombuffer(raw[:8192], np.uint8).astype(float)
+            if not len(x):
+                return "empty,unknown-contrast,unknown-texture"
+            step = np.abs(np.diff(x)).mean() if len(x) > 1 else 0.0
+            light = "dark" if x.mean() < 85 else "bright" if x.mean() > 150 else "mid-tone"
+            contrast = "high-contrast" if x.std() > 70 else "low-contrast" if x.std() < 20 else "medium-contrast"
+            return ",".join([light, contrast, "striped" if step > 50 else "textured" if step > 15 else "smooth"])
+
+        return batch.map(one)
+
+    return caption_of(data)
 
 
 def has_secret(payload: Column) -> Column:

@@ -40,7 +40,7 @@ def top_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, column: s
     sizes = v.groupBy("cell", "dim").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("blocks"))
     v = v.join(F.broadcast(sizes) if not cell else sizes, ["cell", "dim"]).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int")).drop("blocks")
     q = queries.where(F.col(column).isNotNull() & F.col(key).isNotNull())
-    q = q.select((F.explode(query_cells) if query_cells else F.lit(0)).cast("int").alias("cell"), F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).withColumn("dim", F.size("v"))
+    q = q.select((F.explode(F.col(query_cells).cast("array<int>")) if query_cells else F.lit(0)).alias("cell"), F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).withColumn("dim", F.size("v"))
     n = max(1, -(-queries.count() // QUERIES))
     asks = _packed(q.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).cast("int")), ["cell", "part"])
     asks = asks.join(sizes, ["cell", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "dim", "block", F.col("ids").alias("qids"), F.col("mat").alias("qmat"))

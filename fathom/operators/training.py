@@ -27,6 +27,8 @@ def worker_shard(ordered: DataFrame, worker: int, workers: int, resume: int = 0)
     """Every workers-th row from the resume point on, numbered by `step`."""
     if not 0 <= worker < workers or resume < 0:
         raise ValueError("0 <= worker < workers and resume >= 0")
+    if resume and (n := ordered.count()) < resume:
+        raise ValueError(f"resume at {resume} of {n} rows")
     rest = F.col("position") - resume
     return ordered.where((rest >= 0) & (rest % workers == worker)).withColumn("step", F.floor(rest / workers).cast("long"))
 
@@ -50,3 +52,24 @@ def batches(ordered: DataFrame, size: int, key: str, vector: str | None = None)
 def report(df: DataFrame, sums: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Summed metrics overall and by each prefix of `by`, nulls as 0."""
     return df.rollup(*by).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in sums])
+
+
+def dataset(snapshot: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], where=None, plan: str | None = None, seed: int = 0, epoch: int = 0, worker: int = 0, workers: int = 1, resume: int = 0) -> DataFrame:
+    """The rows of a snapshot's members (key, ...) with `position` and `step`, pinned columns only: in the given order, or shuffled if a plan is named.
+
+    A member that the rows don't have is an error: a dataset never shrinks without a word. The filter holds after that check."""
+    gone = snapshot.select(key).distinct().join(rows.select(key), key, "left_anti").limit(3).collect()
+    if gone:
+        raise ValueError(f"members without rows: {[r[0] for r in gone]}")
+    found = rows.join(snapshot.select(key).distinct(), key, "left_semi")
+    if where is not None:
+        found = found.where(where)
+    need = list(dict.fromkeys([key, *columns, *order]))
+    found = found.select(*need)
+    placed = epoch_order(found, key, plan, seed, epoch) if plan is not None else global_numbers(found, [*order, key], "position")
+    return worker_shard(placed, worker, workers, resume).select(key, *[c for c in columns if c != key], "position", "step")
+
+
+def preview(ordered: DataFrame, n: int) -> DataFrame:
+    """The first n samples."""
+    return ordered.where(F.col("position") < n)

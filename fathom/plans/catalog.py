@@ -1,3 +1,3 @@
 """Loads every module that registers queries."""
 
-from . import curation, data_plane, distributions, governance, timeline  # noqa: F401
+from . import curation, data_plane, distributions, governance, timeline, workbench  # noqa: F401

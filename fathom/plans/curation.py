@@ -9,6 +9,7 @@ from ..operators import curate as cu
 from ..operators import filters as fl
 from ..operators import graph as gr
 from ..operators import search as se
+from ..operators.blocks import top_each
 from ..queries import query, table
 from .distributions import LABELLED, docs, labelled
 
@@ -23,46 +24,76 @@ def bm25_search(spark, sf_dir):
     return se.bm25(docs(spark, sf_dir), QUERY).withColumn("score", F.round("score", 6))
 
 
+@query("text_search", f"WITH {BM25} SELECT doc_id, round(round(score, 9), 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' QUALIFY rank <= 50")
+def text_search(spark, sf_dir):
+    """The search entry's text mode: an index of postings, a filter before ranking."""
+    d = docs(spark, sf_dir)
+    found = se.search(d, "text", "doc_id", query=QUERY, where=F.col("lang") == "en", limit=50, index=se.TextIndex(d, "doc_id", "text", 1), version=1)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("scalar_search", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS rank FROM documents WHERE source IS NOT NULL AND lang IN ('de', 'fr') QUALIFY rank <= 40")
+def scalar_search(spark, sf_dir):
+    return se.search(docs(spark, sf_dir), "scalar", "doc_id", where=F.col("source").isNotNull() & F.col("lang").isin("de", "fr"), limit=40, order=["n_chars"])
+
+
 SEED = "s AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+EACH = "{name} AS (SELECT q.vec_id AS query, v.vec_id, round({d}, 9) AS d FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id{more}), r AS (SELECT query, vec_id, d, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM {name})"
+L2 = "list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
 
 def _seed(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding
 
 
-@query("vector_topk", f"WITH {SEED}, d AS (SELECT vec_id, round(list_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, s) SELECT * FROM d ORDER BY distance, vec_id LIMIT 20")
+def _each(spark, sf_dir, k, where=None, metric="l2"):
+    """Every vec_id divisible by 100 against all rows."""
+    e = table(spark, sf_dir, "embeddings")
+    return top_each(e if where is None else e.where(where), e.where("vec_id % 100 = 0"), k, "vec_id", "embedding", metric)
+
+
+@query("vector_topk", f"WITH {EACH.format(name='d', d=L2, more='')} SELECT query, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 20")
 def vector_topk(spark, sf_dir):
-    return se.nearest(table(spark, sf_dir, "embeddings"), _seed(spark, sf_dir), 20).withColumn("distance", F.round("distance", 6))
+    return _each(spark, sf_dir, 20).withColumn("distance", F.round("distance", 6))
 
 
-@query("filtered_vector_topk", f"WITH {SEED}, d AS (SELECT vec_id, round(list_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, s WHERE label IN (1, 2, 3)) SELECT * FROM d ORDER BY distance, vec_id LIMIT 10")
+@query("filtered_vector_topk", f"WITH {EACH.format(name='d', d=L2, more=' AND v.label IN (1, 2, 3)')} SELECT query, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 10")
 def filtered_vector_topk(spark, sf_dir):
-    return se.nearest(table(spark, sf_dir, "embeddings"), _seed(spark, sf_dir), 10, where=fl.matches({"label": [1, 2, 3]})).withColumn("distance", F.round("distance", 6))
+    return _each(spark, sf_dir, 10, fl.matches({"label": [1, 2, 3]})).withColumn("distance", F.round("distance", 6))
 
 
-@query("ann_recall")
+@query("ann_recall", f"WITH q AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 100 = 0) SELECT n * least(10, (SELECT count(*) - 1 FROM embeddings)) AS n, true AS reached FROM q")
 def ann_recall(spark, sf_dir):
-    """Inverted lists against exact search: recall@10 over vec_ids divisible by 100."""
+    """Recall@10 of 32 inverted lists against exact search over vec_ids divisible by 100: as many lists are probed as 0.9 takes, and whether it was reached."""
     rows = table(spark, sf_dir, "embeddings")
     asks = rows.where("vec_id % 100 = 0")
-    indexed, centres = se.ivf_index(rows, "vec_id", "embedding", 8)
-    approx = se.ann(indexed, centres, asks, 10, 7, "vec_id", "embedding")
-    everywhere = se.ann(indexed, centres, asks, 10, 8, "vec_id", "embedding")
-    return se.recall(everywhere, approx, ["query", "vec_id"])
+    index = se.IvfIndex(rows, "vec_id", "embedding", 32)
+    probes, _ = index.probes_for(asks, 10, 0.9)
+    got = se.recall(top_each(rows, asks, 10, "vec_id", "embedding"), index.nearest(asks, 10, probes), ["query", "vec_id"])
+    return got.select("n", (F.col("recall") >= 0.9).alias("reached"))
+
+
+HASHED = """hw AS (SELECT doc_id, sha1(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h FROM {table}),
+hv AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM hw GROUP BY 1, 2)"""
 
 
 @query("hybrid_rrf", f"""WITH {BM25}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM (SELECT * FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 64)),
-b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 64))
-SELECT doc_id, round(sum(1 / (60 + r)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""")
+{HASHED.format(table='documents')}, qw AS (SELECT ('0x' || substr(sha1(w), 1, 8))::BIGINT % 64 AS bucket, CASE WHEN ('0x' || substr(sha1(w), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS s FROM (VALUES ('the'), ('license'), ('idiot')) t(w)),
+qv AS (SELECT bucket, sum(s) AS q FROM qw GROUP BY 1), hn AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM hv GROUP BY 1),
+cs AS (SELECT d.doc_id, round(1 - coalesce(CASE WHEN n > 0 THEN (SELECT sum(v * q) FROM hv JOIN qv USING (bucket) WHERE hv.doc_id = d.doc_id) / n / (SELECT sqrt(sum(q * q)) FROM qv) END, 0), 9) AS dist FROM documents d LEFT JOIN hn USING (doc_id)),
+b AS (SELECT doc_id, row_number() OVER (ORDER BY dist, doc_id) AS r FROM (SELECT * FROM cs ORDER BY dist, doc_id LIMIT 64))
+SELECT doc_id, round(sum(1 / (60 + r)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1 ORDER BY round(sum(1 / (60 + r)), 9) DESC, doc_id LIMIT 20""")
 def hybrid_rrf(spark, sf_dir):
+    """Reciprocal ranks of BM25 and of the cosine of hashed-text vectors."""
     d = docs(spark, sf_dir)
     text = se.bm25(d, QUERY).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(64)
-    long = d.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(64)
-    fused = se.rrf([(text, F.desc("score")), (long, F.desc("n_chars"))], "doc_id")
-    return fused.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
+    vectors = se.nearest(se.hashed_vectors(d, "doc_id", "text", 64), se.hashed_query(spark, QUERY, 64), 64, "doc_id", "v", "cosine").withColumn("distance", F.round("distance", 9))
+    vectors = vectors.orderBy("distance", "doc_id")
+    fused = se.rrf([(text, F.desc("score")), (vectors, F.col("distance"))], "doc_id")
+    return fused.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(20).withColumn("score", F.round("score", 6))
 
 
-@query("diversify_topk", f"""WITH RECURSIVE {SEED}, c AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY round(list_distance(embedding::DOUBLE[], q), 9), vec_id)::INT AS p FROM embeddings, s QUALIFY p <= 64),
+@query("diversify_topk", f"""WITH RECURSIVE {SEED}, c AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY round(list_distance(embedding::DOUBLE[], q), 9), vec_id)::INT AS p FROM embeddings, s),
 w AS (SELECT 1 AS p, [1]::INT[] AS kept UNION ALL SELECT w.p + 1, CASE WHEN len(kept) >= 10 OR EXISTS (SELECT 1 FROM c x, c y WHERE list_contains(kept, x.p) AND y.p = w.p + 1 AND list_cosine_similarity(x.v, y.v) >= 0.3) THEN kept ELSE list_append(kept, (w.p + 1)::INT) END FROM w WHERE w.p < (SELECT max(p) FROM c))
 SELECT vec_id, (list_position(kept, c.p) - 1)::INT AS position FROM (SELECT kept FROM w ORDER BY p DESC LIMIT 1) k JOIN c ON list_contains(kept, c.p)""")
 def diversify_topk(spark, sf_dir):
@@ -94,9 +125,9 @@ def farthest_first(spark, sf_dir):
     return cu.farthest_first(table(spark, sf_dir, "embeddings"), 6, "vec_id", "embedding")
 
 
-@query("mine_neighbors", f"WITH {SEED}, d AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS similarity FROM embeddings, s) SELECT vec_id, round(similarity, 6) AS similarity FROM d ORDER BY round(similarity, 9) DESC, vec_id LIMIT 25")
+@query("mine_neighbors", f"WITH {EACH.format(name='d', d='1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])', more='')} SELECT query, rank, vec_id, round(1 - d, 6) AS similarity FROM r WHERE rank <= 25")
 def mine_neighbors(spark, sf_dir):
-    return cu.similar_to_seed(table(spark, sf_dir, "embeddings"), _seed(spark, sf_dir), 25, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+    return _each(spark, sf_dir, 25, metric="cosine").select("query", "rank", "vec_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
 @query("quality_filter", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality >= 1 AND toxic = 0")

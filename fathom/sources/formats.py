@@ -131,69 +131,258 @@ def _text(b: bytes, at: int) -> tuple[str, int]:
     return b[at + 4 : at + 4 + n].decode("utf-8", "replace"), at + 4 + n
 
 
-def mcap_messages(data: bytes):
-    """Messages of a log in file order: (topic, encoding, schema, sequence, log time, publish time, data); chunks are unpacked, damaged ones skipped."""
+class UnknownCodec(ValueError):
+    pass
+
+
+def _unpacked(kind: str, body: bytes, size: int) -> bytes:
+    """A chunk's records. UnknownCodec for a compression that there is no reader for, another ValueError for damage."""
+    try:
+        if kind == "zstd":
+            import zstandard
+
+            return zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
+        if kind == "lz4":
+            import pyarrow as pa
+
+            return pa.Codec("lz4").decompress(body, decompressed_size=size).to_pybytes()
+    except Exception as e:  # noqa: BLE001  each library has errors of its own
+        raise ValueError(f"a damaged {kind} chunk") from e
+    if kind:
+        raise UnknownCodec(f"no reader for chunks in {kind}")
+    return body
+
+
+def mcap_items(data: bytes, check: bool = True):
+    """What a log holds, in file order, as (what, fields): schema, channel, message, attachment, metadata, statistics, and damage where a part can't be read.
+
+    Damage names its kind and place: crc (a chunk whose checksum differs, if `check`), chunk (one that can't be unpacked), codec (one in a compression without a
+    reader), record (one that is shorter than its fields), cut (the file ends within a record). All that stands before and after is told."""
     import zlib
 
     if not data.startswith(MCAP_MAGIC):
         raise ValueError("not an MCAP file")
-    schemas: dict[int, str] = {}
-    channels: dict[int, tuple[str, str, int]] = {}
-
-    def walk(records):
-        for op, b in records:
-            if op == 0x03:
-                schemas[struct.unpack_from("<H", b)[0]] = _text(b, 2)[0]
-            elif op == 0x04:
-                cid, sid = struct.unpack_from("<HH", b)
-                topic, at = _text(b, 4)
-                channels[cid] = (topic, _text(b, at)[0], sid)
-            elif op == 0x05:
-                cid, seq, log, pub = struct.unpack_from("<HIQQ", b)
-                topic, enc, sid = channels.get(cid, ("", "", 0))
-                yield topic, enc, schemas.get(sid, ""), seq, log, pub, b[22:]
-            elif op == 0x06:
-                size, crc = struct.unpack_from("<QI", b, 16)
-                kind, at = _text(b, 28)
-                body = b[at + 8 : at + 8 + struct.unpack_from("<Q", b, at)[0]]
-                try:
-                    if kind == "zstd":
-                        import zstandard
-
-                        body = zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
-                    elif kind:
-                        continue
-                except Exception:  # noqa: BLE001  a damaged chunk loses its own messages only
-                    continue
-                if crc and zlib.crc32(body) != crc:
-                    continue
-                yield from walk(mcap_records(body))
-
-    yield from walk(mcap_records(data, len(MCAP_MAGIC)))
-
 
-def read_mcap(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each message of the logs under a path; a file that is none has a single row of status failed. A task reads one file at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mcap").load(path).select("path", "content")
+    def walk(raw: bytes, at: int, offset: int):
+        while at + 9 <= len(raw):
+            op, n = raw[at], struct.unpack_from("<Q", raw, at + 1)[0]
+            b, here = raw[at + 9 : at + 9 + n], offset + at
+            if len(b) < n:
+                yield "damage", {"kind": "cut", "at": here}
+                return
+            at += 9 + n
+            try:
+                if op == 0x03:
+                    name, i = _text(b, 2)
+                    yield "schema", {"id": struct.unpack_from("<H", b)[0], "name": name, "encoding": _text(b, i)[0]}
+                elif op == 0x04:
+                    cid, sid = struct.unpack_from("<HH", b)
+                    topic, i = _text(b, 4)
+                    yield "channel", {"id": cid, "schema": sid, "topic": topic, "encoding": _text(b, i)[0]}
+                elif op == 0x05:
+                    cid, seq, log, pub = struct.unpack_from("<HIQQ", b)
+                    yield "message", {"channel": cid, "sequence": seq, "log_time": log, "publish_time": pub, "data": b[22:]}
+                elif op == 0x06:
+                    size, crc = struct.unpack_from("<QI", b, 16)
+                    kind, i = _text(b, 28)
+                    body = b[i + 8 : i + 8 + struct.unpack_from("<Q", b, i)[0]]
+                    try:
+                        body = _unpacked(kind, body, size)
+                    except UnknownCodec:
+                        yield "damage", {"kind": "codec", "at": here}
+                        continue
+                    except ValueError:
+                        yield "damage", {"kind": "chunk", "at": here}
+                        continue
+                    if check and crc and zlib.crc32(body) != crc:
+                        yield "damage", {"kind": "crc", "at": here}
+                        continue
+                    yield from walk(body, 0, here)
+                elif op == 0x09:
+                    log, made = struct.unpack_from("<QQ", b)
+                    name, i = _text(b, 16)
+                    media, i = _text(b, i)
+                    n = struct.unpack_from("<Q", b, i)[0]
+                    yield "attachment", {"log_time": log, "create_time": made, "name": name, "media_type": media, "data": b[i + 8 : i + 8 + n]}
+                elif op == 0x0C:
+                    name, i = _text(b, 0)
+                    end, pairs = i + 4 + struct.unpack_from("<I", b, i)[0], {}
+                    i += 4
+                    while i < end:
+                        k, i = _text(b, i)
+                        pairs[k], i = _text(b, i)
+                    yield "metadata", {"name": name, "pairs": pairs}
+                elif op == 0x0F:
+                    return  # the data section ends; what follows repeats it
+            except struct.error:
+                yield "damage", {"kind": "record", "at": here}
+        if 0 < len(raw) - at < 9 and raw[at:] != MCAP_MAGIC[: len(raw) - at]:
+            yield "damage", {"kind": "cut", "at": offset + at}
+
+    yield from walk(data, len(MCAP_MAGIC), 0)
+
+
+def mcap_messages(data: bytes, check: bool = True):
+    """Messages of a log in file order: (topic, encoding, schema, sequence, log time, publish time, data, status); damage is a row of its own, status damaged:<kind>."""
+    schemas, channels = {}, {}
+    for what, x in mcap_items(data, check):
+        if what == "schema":
+            schemas[x["id"]] = x["name"]
+        elif what == "channel":
+            channels[x["id"]] = x
+        elif what == "message":
+            c = channels.get(x["channel"], {"topic": "", "encoding": "", "schema": 0})
+            yield c["topic"], c["encoding"], schemas.get(c["schema"], ""), x["sequence"], x["log_time"], x["publish_time"], x["data"], "raw"
+        elif what == "damage":
+            yield None, None, None, None, None, None, None, f"damaged:{x['kind']}"
+
+
+def _mcap_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mcap").load(path).select("path", "content")
+
+
+def _per_file(files: DataFrame, schema: T.StructType, rows_of) -> DataFrame:
+    """Rows that rows_of(content) yields for each file, with its path, in batches of at most 4,096; a ValueError ends the file with a row that has but the status failed."""
 
     def run(batches):
+        from itertools import islice
+
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = pa.schema([("path", pa.string()), ("topic", pa.string()), ("encoding", pa.string()), ("schema", pa.string()), ("sequence", pa.int64()), ("log_time", pa.int64()), ("publish_time", pa.int64()), ("data", pa.binary()), ("status", pa.string())])
+        kind = to_arrow_schema(schema)
         for batch in batches:
-            for p, c in zip(batch.column(0), batch.column(1)):
-                rows = []
-                try:
-                    for m in mcap_messages(c.as_py()):
-                        rows.append((p.as_py(), *m, "raw"))
-                        if len(rows) == 4096:
-                            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-                            rows = []
-                except ValueError:
-                    rows.append((p.as_py(), None, None, None, None, None, None, None, "failed"))
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-
-    return files.mapInArrow(run, MESSAGES)
+            for p, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+
+                def safely():
+                    try:
+                        yield from rows_of(c.as_py())  # noqa: B023  used up before the next file
+                    except ValueError:
+                        yield {"status": "failed"}
+
+                rows = safely()
+                while part := list(islice(rows, 4096)):
+                    yield pa.RecordBatch.from_pylist([{"path": p, **r} for r in part], schema=kind)
+
+    return files.mapInArrow(run, schema)
+
+
+def read_mcap(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """A row for each message of the logs under a path, and one for each damaged part; a file that is no log has a single row of status failed.
+
+    A task reads one file at a time, whole, so a file is limited to 2 GB and to the worker's memory."""
+    names = [f.name for f in MESSAGES][1:]
+    return _per_file(_mcap_files(spark, path), MESSAGES, lambda data: (dict(zip(names, m)) for m in mcap_messages(data, check)))
+
+
+def inspect_mcap(spark: SparkSession, path: str) -> DataFrame:
+    """(path, topic, schema, encoding, n, first, last, readable, damaged): what each log holds by topic, without taking it in; damaged counts the file's damaged parts."""
+    m = read_mcap(spark, path)
+    hurt = m.groupBy("path").agg(F.count_if(F.col("status") != "raw").alias("damaged"))
+    topics = m.where("status = 'raw'").groupBy("path", "topic", "schema", "encoding").agg(F.count("*").alias("n"), F.min("log_time").alias("first"), F.max("log_time").alias("last"))
+    return hurt.join(topics, "path", "left").withColumn("readable", F.coalesce(F.col("encoding").isin("json", "cbor", "msgpack"), F.lit(False)))
+
+
+EXTRAS = "path string, kind string, log_time long, name string, media_type string, data binary, pairs map<string,string>, status string"
+
+
+def read_mcap_extras(spark: SparkSession, path: str) -> DataFrame:
+    """Attachments and metadata records of the logs under a path; sort by log_time and name for the order that readers expect."""
+
+    def rows(data):
+        for what, x in mcap_items(data):
+            if what in ("attachment", "metadata"):
+                yield {"kind": what, "status": "raw"} | {k: v for k, v in x.items() if k != "create_time"}
+
+    return _per_file(_mcap_files(spark, path), T.StructType.fromDDL(EXTRAS), rows)
+
+
+def ingest_mcap(lake, path: str, check: bool = True, tables: tuple[str, str, str] = ("sources", "observations", "quarantine")) -> dict:
+    """Take the logs under a path into a lake: observations, one row in sources for each log, damage in quarantine. Logs of a content that is there are passed over.
+
+    A log's id is a digest of its bytes. What is readable of a damaged log is kept. Observations go first, keyed by log and place, and are
+    replaced by log, so that a run that broke off in between can simply be run again."""
+    from ..functions.payloads import decode_payloads
+
+    sources, observations, quarantine = tables
+    spark = lake.spark
+    files = _mcap_files(spark, path).withColumn("source_id", F.concat(F.lit("log-"), F.substring(F.sha1("content"), 1, 16)))
+    first = files.groupBy("source_id").agg(F.min("path").alias("path"))  # copies of a log count once
+    if lake.versions(sources):
+        first = first.join(lake.table(sources).select("source_id"), "source_id", "left_anti")
+    new = {r.path: r.source_id for r in first.collect()}  # a row for each new log
+    if not new:
+        return {"logs": 0, "messages": 0, "damaged": 0}
+    ids = spark.createDataFrame([(p, i) for p, i in new.items()], "path string, source_id string")
+    names = [f.name for f in MESSAGES][1:]
+    picked = _mcap_files(spark, path).join(F.broadcast(ids.select("path")), "path", "left_semi")
+    rows = _per_file(picked, T.StructType([*MESSAGES.fields, T.StructField("place", T.LongType())]), lambda data: ({**dict(zip(names, m)), "place": i} for i, m in enumerate(mcap_messages(data, check))))
+    rows = rows.join(F.broadcast(ids), "path")
+    good = decode_payloads(rows.where("status = 'raw'").drop("status", "path"))
+    hurt = rows.where("status <> 'raw'").select("source_id", "path", F.col("status").alias("reason"))
+    for name, df in ((observations, good), (quarantine, hurt)):
+        lake.replace_by(name, df, "source_id") if lake.versions(name) else lake.create(name, df)
+    counts = lake.table(observations).join(F.broadcast(ids.select("source_id")), "source_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("n"), F.min("log_time").alias("first"), F.max("log_time").alias("last"))
+    bad = lake.table(quarantine).join(F.broadcast(ids.select("source_id")), "source_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("damaged"))
+    done = ids.join(counts, "source_id", "left").join(bad, "source_id", "left").select("source_id", "path", F.coalesce("n", F.lit(0)).alias("n"), "first", "last", F.coalesce("damaged", F.lit(0)).alias("damaged"))
+    lake.append(sources, done) if lake.versions(sources) else lake.create(sources, done)
+    total = lake.table(sources).join(F.broadcast(ids.select("source_id")), "source_id", "left_semi").agg(F.sum("n"), F.sum("damaged")).first()
+    return {"logs": len(new), "messages": total[0], "damaged": total[1]}
+
+
+# Projections of a snapshot into outside formats, replay plans and lineage events.
+
+#: Formats by name: a function of (rows, root) that writes them.
+PROJECTIONS: dict = {}
+
+
+def register_projection(name: str, write) -> None:
+    PROJECTIONS[name] = write
+
+
+def project(rows: DataFrame, fmt: str, root: str | None = None, key: str = "key") -> dict:
+    """A projection: its plan if no root is given (format, columns, rows, digest of the keys), else written there with the plan as manifest."""
+    if fmt not in PROJECTIONS:
+        raise KeyError(f"no projection {fmt!r}; known: {sorted(PROJECTIONS)}")
+    sums = rows.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64(key), F.lit(1_000_000_007))).alias("s")).first()
+    plan = {"format": fmt, "columns": rows.columns, "rows": sums.n, "keys": int(sums.s or 0)}
+    if root is not None:
+        from .lake import Files
+
+        PROJECTIONS[fmt](rows, f"{root.rstrip('/')}/data")
+        import json
+
+        Files(rows.sparkSession, root).create(f"{root.rstrip('/')}/manifest.json", json.dumps(plan))
+    return plan
+
+
+def check_projection(rows: DataFrame, root: str, key: str = "key") -> list[str]:
+    """What a written projection's manifest and the rows disagree in; empty if nothing."""
+    import json
+
+    from .lake import Files
+
+    files = Files(rows.sparkSession, root)
+    if "manifest.json" not in files.names(root):
+        return ["manifest"]
+    wrote = json.loads(files.read(f"{root.rstrip('/')}/manifest.json"))
+    now = project(rows, wrote["format"], None, key)
+    return [k for k in now if now[k] != wrote.get(k)]
+
+
+def replay_plan(scenarios: DataFrame, runs: DataFrame, pad: int = 0) -> DataFrame:
+    """(source_uri, start, end, scenarios): the one slice of each source log that a set of scenarios (scenario_id, run_id, start, end) needs."""
+    return scenarios.join(runs.select("run_id", "source_uri"), "run_id").groupBy("source_uri").agg((F.min("start") - pad).alias("start"), (F.max("end") + pad).alias("end"), F.count("*").alias("scenarios"))
+
+
+def lineage_events(edges: DataFrame, space: str = "fathom", time: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """(edge_id, event): an OpenLineage run event as JSON for each edge (edge_id, type, src, dst)."""
+    name = lambda c: F.array(F.struct(F.lit(space).alias("namespace"), F.col(c).alias("name")))
+    event = F.struct(
+        F.lit("COMPLETE").alias("eventType"), F.lit(time).alias("eventTime"), F.struct(F.col("edge_id").alias("runId")).alias("run"), F.struct(F.lit(space).alias("namespace"), F.col("type").alias("name")).alias("job"),
+        name("src").alias("inputs"), name("dst").alias("outputs"), F.lit(f"urn:{space}:producer").alias("producer"),
+    )
+    return edges.select("edge_id", F.to_json(event).alias("event"))
 
 
 def decode_json(df: DataFrame, payload: str = "data", encoding: str = "encoding") -> DataFrame:

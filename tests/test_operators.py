@@ -65,13 +65,13 @@ def test_merge_gap(spark):
 
 
 def test_curation_of_scenarios(spark):
-    v = {"anchor": [1.0, 0, 0, 0], "duplicate": [0.99995, 0.01, 0, 0], "neighbor": [0.97, 0.24, 0, 0], "cup": [0, 1.0, 0, 0], "box": [0, 0, 1.0, 0], "extra": [0, 0.1, 0.9, 0]}
+    v = {"seed": [0.6, 0.8, 0, 0], "copy": [0.6003, 0.7998, 0, 0], "kin": [0.8, 0.6, 0, 0], "up": [0, 0, 0, 1.0], "side": [0, 0, 2.0, 0], "tilted": [0, 0, 3.0, 1.5]}
     df = spark.createDataFrame([(i, k, [float(x) for x in e], "s") for i, (k, e) in enumerate(v.items())], "id long, name string, v array<double>, shard string")
     pairs = cu.similar_pairs(df, 0.999, "id", "v", "shard")
     assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1)]
     kept = {r.id for r in cu.representatives(df, pairs, "id", [F.col("id")]).where("kept").collect()}
     assert kept == {0, 2, 3, 4, 5}
-    assert [r.id for r in cu.similar_to_seed(df, v["anchor"], 3, "id", "v").collect()] == [0, 1, 2]
+    assert [r.id for r in cu.similar_to_seed(df, v["seed"], 3, "id", "v").collect()] == [0, 1, 2]
     with pytest.raises(ValueError):
         cu.similar_pairs(df, 0.9, "id", "v", "shard", most=3)
 
