@@ -9,7 +9,7 @@ from conftest import SF, rows_of
 from pyspark.sql import functions as F
 
 from fathom.llm import registry
-from fathom.llm.bpe import Encoder, encode_bpe, load_vocabulary, merge_piece
+from fathom.llm.bpe import Encoder, decode_bpe, encode_bpe, load_vocabulary, merge_piece
 from fathom.llm.common import connected_components
 from fathom.llm.decontaminate import decontaminate, drop_contaminated, least_hits
 from fathom.llm.licenses import Automaton, scan_licenses
@@ -571,3 +571,126 @@ def test_pipeline_stages(spark):
     items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     left = docs.where(F.col("doc_id").isin(got["doc_id"].tolist())).collect()
     assert not any(i in " ".join(r.text.lower().split()) for r in left for i in items)
+
+
+# Columns that are named like an operator's own, for every operator
+
+OWN_NAMES = """id rk pos h i j k t d c e l y n v w words lines gone sig keys node low key row family stays first any all fold score p q ws cls hits place admits raw body head start clen whole digest file split off out door
+value record_id refers_to bytes base record type shard ordinal ids copy piece width pieces vec_id query_id rank block dim mat times qids qmat removed n_removed n_tokens base_starts labels spans item_id n_item n_shared containment
+component component_id component_ kept n_shingles doc hash_ id_ __gone __id __rk __gid __grk __c __e __l __y __t __hit __removed __score __n __part""".split()
+
+
+def crowded(spark, columns, rows):
+    """Rows with a column for every name of OWN_NAMES besides."""
+    extra = [c for c in dict.fromkeys(OWN_NAMES) if c.lower() not in {n.split()[0] for n in columns}]
+    df = spark.createDataFrame(rows, ", ".join(columns))
+    return df.select("*", *[F.lit(f"<{c}>").alias(c) for c in extra]), extra
+
+
+TEXTS = [(1, "the quick brown fox jumps over it"), (2, None), (3, ""), (None, "the quick brown fox jumps over it"), (4, "a b c d e f g h\n" * 30), (5, "x " + "a b c d e f g h\n" * 30), (4, "a b c d e f g h\n" * 30)]
+
+
+def unharmed(got, extra, n=None):
+    rows = got.select(*[f"`{c}`" for c in extra if c in got.columns]).collect()
+    assert all(r[c] == f"<{c}>" for r in rows for c in r.asDict()) and (n is None or len(rows) == n)
+
+
+def test_crowded_text_operators(spark):
+    from fathom.llm.quality import keep_good
+
+    df, extra = crowded(spark, ["doc_id long", "text string"], TEXTS)
+    marks = spark.createDataFrame([(i, i % 2, (i + 1) % 2, "l") for i in range(1, 6)], "doc_id long, quality int, toxic int, l string")
+    for fit, score in ((fit_quality, score_quality), (fit_toxicity, score_toxicity)):
+        unharmed(score(df, fit(df, marks, F.col("doc_id") % 3 == 0), score="mine"), extra, 7)
+    assert keep_good(df, marks).columns == df.columns
+    unharmed(keep_good(df, marks), extra)
+    cut = dedup_lines(df, removed="mine")
+    assert cut.columns == [*df.columns, "mine"] and cut.count() == 7
+    unharmed(cut, extra)
+    unharmed(drop_near_duplicates(df), extra)
+    assert drop_near_duplicates(df).columns == df.columns and near_duplicates(df).count() == 7
+    assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == [1, 2, 3, 4]
+    items, _ = crowded(spark, ["item_id long", "text string"], [(1, "quick brown fox jumps over"), (None, "c d e f g h"), (2, None)])
+    assert {(r.doc_id, r.item_id) for r in decontaminate(df, items).collect()} == {(1, 1), (None, 1), (4, None), (5, None)}
+    left = drop_contaminated(df, items)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 3]
+    unharmed(left, extra)
+    coded = encode_bpe(df, tokenizer_path(), ids="my_ids", n_tokens="my_n", decoded="my_text")
+    assert all(r.my_text == (r.text or "") for r in coded.collect())
+    unharmed(coded, extra, 7)
+    again = decode_bpe(coded, tokenizer_path(), "my_ids", "second")
+    assert all(r.second == r.my_text for r in again.collect())
+    found = scan_licenses(df)
+    unharmed(found, [c for c in extra if c not in ("base_starts", "labels", "spans", "score")], 7)
+
+
+def test_crowded_packing_pages_vectors(spark):
+    import public_tokenizers as P
+
+    df, _ = crowded(spark, ["doc_id long", "text string"], TEXTS)
+    assert pack_round_trip(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 7
+    pages, _ = crowded(spark, ["page_id long", "url string", "html string"], [(1, "u", "x" * 1200), (2, None, "x" * 1200), (None, "u", None)])
+    got = {(r.record_id, r.type, r.n_bytes, r.refers_to) for r in warc_round_trip(pages).collect()}
+    assert got == {(1, "revisit", 1200, 2), (2, "response", 1200, None), (None, "response", 0, None)}
+    vecs, _ = crowded(spark, ["vec_id long", "embedding array<float>"], [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None)])
+    v = integer_vectors(vecs, "vec_id", "embedding")
+    assert sorted(map(tuple, top_k(v, v.where("vec_id = 0")).collect())) == [(0, 1, 1, 32768), (0, 2, 1, 32768)]
+
+
+def test_stages_leave_others_tables_alone(spark):
+    """A result that is held still reads its staged tables after a pipeline stage has run."""
+    import corpus_pipeline as cp
+
+    held = warc_round_trip(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for _, stage in cp.STAGES[1:3]:
+        stage(spark, docs, SF).count()
+    assert held.count() == 1
+
+
+def test_stages_equal_sql_and_the_library(spark):
+    """Each stage after the classifier on all that the one before kept, against DuckDB's SQL of the operator and the tokenizers library."""
+    import corpus_pipeline as cp
+    import duckdb
+    from tokenizers import Tokenizer
+
+    duck, sql = duckdb.connect(), registry.oracles()
+    duck.sql(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+    stages, docs = dict(cp.STAGES), spark.read.parquet(f"{SF}/documents.parquet")
+
+    def step(name):
+        nonlocal docs
+        before = docs.toPandas()
+        out = stages[name](spark, docs, SF).toPandas()
+        docs = spark.createDataFrame(out) if name != "bpe_stage" else None
+        duck.register("documents", before)
+        return before, out.sort_values("doc_id").reset_index(drop=True)
+
+    _, kept = step("quality_stage")
+    assert len(kept)
+    before, got = step("line_stage")
+    want = duck.sql(sql["op4_line_dedup"]).df().query("n_removed == 0 or text != ''").sort_values("doc_id").reset_index(drop=True)
+    assert got["doc_id"].tolist() == want["doc_id"].tolist() and got["text"].tolist() == want["text"].tolist() and list(got.columns) == list(before.columns)
+    assert all(n == len(t) for n, t, r in zip(got["n_chars"], got["text"], want["n_removed"]) if r)
+    _, got = step("near_stage")
+    assert got["doc_id"].tolist() == sorted(duck.sql(sql["op10_near_dedup"]).df().query("kept")["doc_id"])
+    before, got = step("benchmark_stage")
+    hit = set(duck.sql(sql["op9_decontaminate"]).df()["doc_id"])
+    assert got["doc_id"].tolist() == sorted(set(before["doc_id"]) - hit)
+    before, got = step("bpe_stage")
+    lib = Tokenizer.from_file(tokenizer_path())
+    for (_, row), text in zip(got.iterrows(), before.sort_values("doc_id")["text"]):
+        ids = lib.encode(text, add_special_tokens=False).ids
+        decoded = lib.decode(ids, skip_special_tokens=False)
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("name,label,floor", [("op1_toxicity", "toxic", 0.85), ("op2_quality", "quality", 0.98)])
+def test_held_out_rows_of_the_tables(spark, name, label, floor):
+    """Area under the curve over rows whose labels the model hasn't seen, on the tables of 1,000 documents."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    got = registry.queries()[name](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and got.where("score is null or score < 0 or score > 1 or predicted <> int(score >= 0.3)").isEmpty()
+    rows = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    good, bad = [r.score for r in rows if r[label] == 1], [r.score for r in rows if r[label] == 0]
+    assert sum((p > n) + 0.5 * (p == n) for p in good for n in bad) >= floor * len(good) * len(bad)
