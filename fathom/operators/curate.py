@@ -176,6 +176,12 @@ def confidence_margin(score: Column, kind: Column, cap: float) -> Column:
     return F.when(c <= cap, c)
 
 
+def metadata_score(metadata: Column, name: str) -> Column:
+    """entropy or high loss: the greatest finite value that a list of metadata maps has under a name; null without any."""
+    values = F.transform(metadata, lambda m: m[name].cast("double"))
+    return F.array_max(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
 def ensemble_disagreement(members: Column, variance: bool = False) -> Column:
     """Range or population variance of at least two members' scores."""
     mean = F.aggregate(members, F.lit(0.0), lambda s, x: s + x) / F.size(members)

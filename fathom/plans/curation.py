@@ -120,7 +120,9 @@ def stratified_sample(spark, sf_dir):
     return cu.stratified(docs(spark, sf_dir), ["lang", "source"], 2, ["n_chars", "doc_id"]).select("doc_id", "lang", "source")
 
 
-@query("farthest_first")
+@query("farthest_first", """WITH RECURSIVE c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT 0 AS p, [min(vec_id)] AS kept, 0.0::DOUBLE AS d FROM c UNION ALL
+SELECT r.p + 1, list_append(r.kept, b.vec_id), b.d FROM r, LATERAL (SELECT x.vec_id, min(round(list_distance(x.v, y.v), 9)) AS d FROM c x JOIN c y ON list_contains(r.kept, y.vec_id) AND NOT list_contains(r.kept, x.vec_id) GROUP BY x.vec_id ORDER BY d DESC, x.vec_id LIMIT 1) b WHERE r.p < 5)
+SELECT kept[p + 1] AS vec_id, p::INT AS position, d AS distance FROM r""")
 def farthest_first(spark, sf_dir):
     return cu.farthest_first(table(spark, sf_dir, "embeddings"), 6, "vec_id", "embedding")
 

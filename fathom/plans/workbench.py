@@ -304,3 +304,63 @@ def demo_embedding(spark, sf_dir):
 def merged_tags(spark, sf_dir):
     one = lambda c: F.array_compact(F.array(c))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(fn.ordered_distinct(one("lang"), one("source"), one("lang"), F.array(F.lit("x"))), ",").alias("tags"))
+
+
+@query("clip_export", f"WITH {OBS}, i AS (SELECT event_id AS clip, run_id, t - {6 * HOUR} AS a, t + {6 * HOUR} AS b FROM o WHERE topic = 'error' AND event_id % 10 = 0) SELECT clip, o.topic, count(*) AS n, sum(o.event_id)::BIGINT AS ids FROM i JOIN o ON o.run_id = i.run_id AND o.t BETWEEN a AND b GROUP BY ALL")
+def clip_export(spark, sf_dir):
+    """A log around each of some errors, written as MCAP and read again."""
+    obs = observations(spark, sf_dir)
+    spans = obs.where("topic = 'error' and event_id % 10 = 0").select(F.col("event_id").alias("clip"), "run_id", (F.col("t") - 6 * HOUR).alias("start"), (F.col("t") + 6 * HOUR).alias("end"))
+    messages = obs.select("run_id", "t", "topic", F.lit("json").alias("encoding"), F.lit("Event").alias("schema"), F.col("event_id").alias("sequence"), F.to_json(F.struct("event_id")).cast("binary").alias("data"))
+    made = fm.clips(messages, spans, DAY)
+
+    def read(batches):
+        import json
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for clip, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = [(clip, m[0], json.loads(m[6])["event_id"]) for m in fm.mcap_messages(raw.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["clip", "topic", "event_id"])
+
+    return made.select("clip", "mcap").mapInArrow(read, "clip long, topic string, event_id long").groupBy("clip", "topic").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("embedding_job", """WITH w AS (SELECT doc_id, sha1(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h FROM documents),
+v AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 16 AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2), s AS (SELECT doc_id, sum(v) / sqrt(sum(v * v)) AS total FROM v GROUP BY 1 HAVING sum(v * v) > 0)
+SELECT doc_id, round(coalesce(total, 0), 6) AS total FROM documents LEFT JOIN s USING (doc_id)""")
+def embedding_job(spark, sf_dir):
+    """Text vectors by parts, in a first run that breaks off after three and a second one that ends the job."""
+    from ..operators.jobs import ColumnJob
+    from ..operators.search import hashed_vectors
+
+    rows, root = table(spark, sf_dir, "documents").select("doc_id", "text"), staging_path(spark, "embeddings")
+    work = lambda df: hashed_vectors(df, "doc_id", "text", 16)
+    ColumnJob(rows, root, "doc_id", work, 4).run(3)
+    job = ColumnJob(rows, root, "doc_id", work, 4)
+    job.run()
+    return job.result().select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("scorer_entropy", "SELECT user_id, round(max(value) FILTER (event_type = 'view'), 6) AS entropy, round(max(value) FILTER (event_type = 'click'), 6) AS loss FROM events GROUP BY 1")
+def scorer_entropy(spark, sf_dir):
+    from ..operators import curate as cu
+
+    name = F.when(F.col("event_type") == "view", "entropy").when(F.col("event_type") == "click", "loss").otherwise("other")
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.create_map(name, "value")).alias("m"))
+    return rows.select("user_id", F.round(cu.metadata_score(F.col("m"), "entropy"), 6).alias("entropy"), F.round(cu.metadata_score(F.col("m"), "loss"), 6).alias("loss"))
+
+
+@query("stream_asof", f"WITH {OBS}, k AS (SELECT run_id, t, event_id FROM o WHERE topic = 'error'), s AS (SELECT run_id, t AS st, value AS v FROM o WHERE topic = 'view') SELECT k.run_id, k.t, round(s.v, 6) AS value, k.t - s.st AS error FROM k ASOF LEFT JOIN s ON k.run_id = s.run_id AND k.t >= s.st")
+def stream_asof(spark, sf_dir):
+    """Errors as ticks, views as samples of one file stream, run to its end."""
+    import uuid
+
+    from ..streaming import streams as st
+
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where(F.col("event_type").isin("error", "view"))
+    rows = rows.select(F.col("user_id").alias("run_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("t"), (F.col("event_type") == "error").alias("tick"), "value")
+    out = st.run_to_end(st.asof_previous(rows, "run_id", "t", "tick", "value"), f"asof_{uuid.uuid4().hex}", staging_path(spark, "stream"))
+    return out.withColumn("value", F.round("value", 6))

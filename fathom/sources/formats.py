@@ -435,3 +435,90 @@ def enclosing_group(frames: DataFrame, groups: DataFrame, video: str = "video",
     g = groups.withColumnRenamed(video, "__v")
     return frames.join(g, (F.col(video) == F.col("__v")) & F.col(frame).between(F.col("first"), F.col("last"))).drop("__v")
 
+
+def read_mp4(spark: SparkSession, path: str) -> DataFrame:
+    """(path, codec, samples, timescale, duration, keyframes, status) of the videos under a path, from their tables alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(path).select("path", "content")
+
+    def rows(data):
+        try:
+            yield mp4_samples(data) | {"status": "read"}
+        except struct.error as e:
+            raise ValueError("a damaged table") from e
+
+    return _per_file(files, T.StructType.fromDDL("path string, codec string, samples long, timescale long, duration long, keyframes array<long>, status string"), rows)
+
+
+def read_db3(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of recordings in SQLite files (.db3) under a path, payloads raw; a file that is none has a single row of status failed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.db3").load(path).select("path", "content")
+
+    def rows(data):
+        import sqlite3
+        from contextlib import closing
+
+        try:
+            with closing(sqlite3.connect(":memory:")) as db:
+                db.deserialize(data)
+                found = db.execute("select t.name, t.serialization_format, t.type, m.id, m.timestamp, m.data from messages m join topics t on t.id = m.topic_id order by m.timestamp, m.id")
+                for topic, encoding, kind, n, at, payload in found:
+                    yield {"topic": topic, "encoding": encoding, "schema": kind, "sequence": n, "log_time": at, "publish_time": at, "data": payload, "status": "raw"}
+        except sqlite3.Error as e:
+            raise ValueError("not a recording") from e
+
+    return _per_file(files, MESSAGES, rows)
+
+
+def mcap_bytes(messages) -> bytes:
+    """A log of (topic, encoding, schema, sequence, log time, publish time, data) messages, in time order, without chunks."""
+    rec = lambda op, b: bytes([op]) + struct.pack("<Q", len(b)) + b
+    txt = lambda x: struct.pack("<I", len(x.encode())) + x.encode()
+    out, schemas, channels = [MCAP_MAGIC, rec(1, txt("") + txt("fathom"))], {}, {}
+    for topic, encoding, schema, seq, log, pub, data in sorted(messages, key=lambda m: (m[4], m[0], m[3])):
+        if schema not in schemas:
+            schemas[schema] = len(schemas) + 1
+            out.append(rec(3, struct.pack("<H", schemas[schema]) + txt(schema) + txt("") + struct.pack("<I", 0)))
+        c = (topic, encoding, schema)
+        if c not in channels:
+            channels[c] = len(channels) + 1
+            out.append(rec(4, struct.pack("<HH", channels[c], schemas[schema]) + txt(topic) + txt(encoding) + struct.pack("<I", 0)))
+        out.append(rec(5, struct.pack("<HIQQ", channels[c], seq, log, pub) + data))
+    return b"".join([*out, rec(15, struct.pack("<I", 0)), rec(2, struct.pack("<QQI", 0, 0, 0)), MCAP_MAGIC])
+
+
+def clips(messages: DataFrame, intervals: DataFrame, bucket: int) -> DataFrame:
+    """(clip, n, lossless, mcap): a log for each interval (clip, run_id, start, end) of the messages (run_id, t, topic, encoding, schema, sequence, data) in it, both ends included.
+
+    lossless is false where a message has no payload. A clip is put together in one task; intervals bound its size."""
+    from ..operators.timeline import rows_in_intervals
+
+    found = rows_in_intervals(messages, intervals, bucket)
+
+    def pack(t):
+        import pyarrow as pa
+
+        rows = t.select(["topic", "encoding", "schema", "sequence", "t", "data"]).to_pylist()
+        body = mcap_bytes([(r["topic"], r["encoding"] or "", r["schema"] or "", r["sequence"], r["t"], r["t"], r["data"] or b"") for r in rows])
+        return pa.table({"clip": t.column("clip")[:1], "n": pa.array([len(rows)], pa.int64()), "lossless": [all(r["data"] is not None for r in rows)], "mcap": pa.array([body], pa.binary())})
+
+    return found.groupBy("clip").applyInArrow(pack, f"clip {intervals.schema['clip'].dataType.simpleString()}, n long, lossless boolean, mcap binary")
+
+
+def objects(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """(path, length, modified, change): what is stored under a path, without reading it; against a known listing new, changed, same, or gone."""
+    now = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    if known is None:
+        return now.withColumn("change", F.lit("new"))
+    old = known.select(F.col("path").alias("__p"), F.col("length").alias("__l"), F.col("modified").alias("__m"))
+    both = now.join(old, F.col("path") == F.col("__p"), "full")
+    same = (F.col("length") == F.col("__l")) & (F.col("modified") == F.col("__m"))
+    change = F.when(F.col("__p").isNull(), "new").when(F.col("path").isNull(), "gone").when(same, "same").otherwise("changed")
+    return both.select(F.coalesce("path", "__p").alias("path"), F.coalesce("length", "__l").alias("length"), F.coalesce("modified", "__m").alias("modified"), change.alias("change"))
+
+
+def ingest_frames(lake, root: str, dataset: str, table: str = "frames") -> dict:
+    """Take a robot dataset's frames into a lake table under the dataset's name; taking it again replaces what was taken before, in one version."""
+    rows = read_frames(lake.spark, root).withColumn("dataset", F.lit(dataset))
+    lake.replace_by(table, rows, "dataset") if lake.versions(table) else lake.create(table, rows)
+    n = lake.table(table).where(F.col("dataset") == dataset).agg(F.count("*"), F.count_distinct("episode_index")).first()
+    return {"frames": n[0], "episodes": n[1]}
