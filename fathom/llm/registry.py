@@ -1,4 +1,4 @@
-"""Queries of this subpackage, their SQL, and the pipeline's."""
+"""Queries of this subpackage and their SQL."""
 
 from __future__ import annotations
 
@@ -6,15 +6,8 @@ from . import queries_text
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return {**queries_text.QUERIES, "pipeline": corpus_pipeline.run}
+    return dict(queries_text.QUERIES)
 
 
 def oracles() -> dict:
-    import corpus_pipeline
-
-    found = dict(queries_text.ORACLES)
-    if corpus_pipeline.ORACLE_SQL is not None:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return found
+    return dict(queries_text.ORACLES)

@@ -180,8 +180,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def put_together(spark: SparkSession, path: str, at: DataFrame, kept: DataFrame) -> DataFrame:
     """Records whose payload holds the magic: the pieces up to the next record, joined by the magic, cut to length. Files without such records aren't read again."""
     broken = kept.where("not whole")
-    mine = at.join(broken.select("file").distinct(), "file", "left_semi").join(kept.select("file", "off", F.col("off").alias("head_at"), "whole"), ["file", "off"], "left")
-    mine = mine.drop("whole").withColumn("owner", F.last("head_at", ignorenulls=True).over(Window.partitionBy("file").orderBy("off")))
+    mine = at.join(broken.select("file").distinct(), "file", "left_semi").join(kept.select("file", "off", F.col("off").alias("head_at")), ["file", "off"], "left")
+    # the owner is the last record that begins before: in the piece's split, or else in the splits before, of which a file has few
+    ends = mine.groupBy("file", "split").agg(F.max("head_at").alias("last"))
+    carried = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("carried", carried).drop("last")
+    inside = F.last("head_at", ignorenulls=True).over(Window.partitionBy("file", "split").orderBy("ord"))
+    mine = mine.withColumn("inside", inside).join(ends, ["file", "split"]).withColumn("owner", F.coalesce("inside", "carried")).drop("inside", "carried")
     need = mine.join(broken.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi").select("file", "split", "ord", "owner", "off")
     again = pieces(spark, path).withColumn("ord", F.row_number().over(Window.partitionBy("file", "split").orderBy("n"))).drop("n")
     parts = again.join(need, ["file", "split", "ord"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("ps"))
