@@ -1,6 +1,7 @@
 """Catalogs, resumable jobs, listings, recordings in SQLite, datasets, streams and the command line."""
 
 import json
+import os
 import sqlite3
 import struct
 
@@ -104,6 +105,7 @@ def test_late_rows_are_counted(spark, tmp_path):
     for i, rows in enumerate(([("2024-01-02 00:00:00", "a")], [("2024-01-02 00:00:05", "a")], [("2024-01-01 00:00:00", "a")])):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"at": t, "k": k}) for t, k in rows))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + 10 * i, 1_700_000_000 + 10 * i))  # files are taken in this order
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in"))
     q = st.tumbling_counts(stream, "at", "k", "1 minute", "10 seconds").writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
