@@ -75,3 +75,18 @@ def drop_staged(spark: SparkSession, paths: list[str]) -> None:
         delete_path(spark, path)
         if noted is not None and path in noted:
             noted.remove(path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is run inside: where a row holds a text or a set, a default batch of 10,000 takes far more memory than its work."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
