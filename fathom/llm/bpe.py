@@ -316,6 +316,13 @@ def worker_encoder(sent) -> Encoder:
     return kept[key]
 
 
+def slices(batches, rows: int = 500):
+    """The batches in slices of so many rows: ids and texts of a whole batch at once would take many times its size, and a worker keeps what it once took."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def by_size(texts: list, most: int = 1 << 19):
     """Consecutive slices of about `most` characters."""
     at = size = 0
@@ -342,7 +349,7 @@ def encode_bpe(df: DataFrame, path: str, text: str = "text", ids: str = "ids", n
 
     def run(batches):
         coder = worker_encoder(sent)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text))
             cols = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in new]
             names = [f.name for f in batch.schema if f.name not in new]
@@ -364,7 +371,7 @@ def decode_bpe(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
 
     def run(batches):
         coder = worker_encoder(sent)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t for some in by_size(batch.column(batch.schema.get_field_index(ids)).to_pylist()) for t in coder.decode_all(some)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, decoded])
 

@@ -35,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import arrow_rows
 from .common import col, connected_components, stage, unstage, unused
 
 PERMUTATIONS, BANDS, BATCH = 128, 32, 16
 #: Shingles in a block of a tile, about, each node counting 64 more: bounds a task's memory.
 TILE = 1 << 18
+#: Rows of texts or sets in an Arrow batch.
+BATCH_ROWS = 1000
 #: Distinct shingles signed at a time: bounds memory for very long texts.
 SIGN_ROWS = 2048
 
@@ -277,7 +280,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, repeats: bool, doc_id: str, te
 
 
 def near_rows(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, rk, n, family, component_id) of every row; family tells components apart, null for empty sets."""
+    """(row, id, rk, n, family, component_id) of every row; family tells components apart, null for empty sets. All steps in Python run here, in small batches."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_rows(docs, threshold, miss, doc_id, text)
+
+
+def _near_rows(docs: DataFrame, threshold: float, miss: float, doc_id: str, text: str) -> DataFrame:
     sk = stage(sketch_table(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "sketch")
     nodes = stage(sk.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("low"), F.min("n").alias("n"), F.min_by("keys", "row").alias("keys")), "nodes")
     every = nodes.select("node", "n", F.explode("keys").alias("key"))
