@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stage
+
 
 def _cols(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -101,12 +103,19 @@ def number_rows(df: DataFrame, key: str | Sequence[str], order: Sequence[str], n
 
 
 def global_numbers(df: DataFrame, order: Sequence[str], name: str, buckets: int = 64) -> DataFrame:
-    """Dense numbers from 0 over all rows: rows are ranged by the first order column, numbered within a range, and each range's count is added up."""
-    parted = df.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id())
-    local = parted.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
-    base = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return local.join(base, "__p").withColumn(name, (F.col("__b") + F.col("__i") - 1).cast("long")).drop("__p", "__i", "__b")
+    """Dense numbers from 0 over all rows: rows are ranged by the order columns, numbered within a range, and each range's count is added up.
+
+    Bounds of ranges are sampled anew whenever the plan runs, so the rows are staged with their places: counts and places then come from the same ranges."""
+    taken, at = {c.lower() for c in [*df.columns, name]}, "__at"
+    while {at, f"{at}p", f"{at}b"} & taken:
+        at += "_"
+    # the number of the range, shifted by 33 bits, and the place within it
+    placed = stage(df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "numbers")
+    p, i = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(p.alias(f"{at}p")).agg(F.count("*").alias("n"))
+    base = sizes.select(f"{at}p", F.coalesce(F.sum("n").over(Window.orderBy(f"{at}p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{at}b"))
+    # a row for each range
+    return placed.join(F.broadcast(base), p == F.col(f"{at}p")).withColumn(name, (F.col(f"{at}b") + i).cast("long")).drop(at, f"{at}p", f"{at}b")
 
 
 def page_after(df: DataFrame, order: Sequence[str], after: Sequence, limit: int) -> DataFrame:
