@@ -1,8 +1,12 @@
 """Numbers over all rows on tables so large that Spark samples the bounds of ranges."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from fathom.operators import timeline as tl
+from fathom.operators import training as tr
+from fathom.sources import formats as fm
 
 N = 60000
 
@@ -20,3 +24,14 @@ def test_global_numbers_names(spark):
     # the name replaces a column, helper columns can't clash
     odd = spark.createDataFrame([(2, 5), (1, 5), (None, 5)], "__at int, __p int")
     assert sorted(map(tuple, tl.global_numbers(odd, ["__at"], "__p").collect()), key=lambda r: r[1]) == [(None, 0), (1, 1), (2, 2)]
+
+
+def by_hash(keys):
+    return sorted(keys, key=lambda k: (hashlib.sha256(f"plan|7|{k}".encode()).hexdigest(), k))
+
+
+def test_collated_batches(spark):
+    d = spark.range(N).select(F.col("id").alias("doc_id"), F.array_repeat(F.lit(1.0), (F.col("id") % 5 + 1).cast("int")).alias("v"))
+    got = tr.batches(tr.permutation(d, "doc_id", "plan", 7), 32, "doc_id", "v").select("batch", "n", "keys").orderBy("batch").collect()
+    assert [r.batch for r in got] == list(range(N // 32)) and {r.n for r in got} == {32}
+    assert [k for r in got for k in r["keys"]] == by_hash(range(N))
