@@ -35,3 +35,11 @@ def test_collated_batches(spark):
     got = tr.batches(tr.permutation(d, "doc_id", "plan", 7), 32, "doc_id", "v").select("batch", "n", "keys").orderBy("batch").collect()
     assert [r.batch for r in got] == list(range(N // 32)) and {r.n for r in got} == {32}
     assert [k for r in got for k in r["keys"]] == by_hash(range(N))
+
+
+def test_tar_shards(spark):
+    df = spark.range(N).select(((F.col("id") * 7919) % N).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("txt"))
+    got = fm.tar_shards(df, "id", ["txt"], 100).orderBy("shard").collect()
+    assert [r.shard for r in got] == list(range(N // 100)) and {r.n for r in got} == {100}
+    first = [bytes(r.tar[:100]).split(b"\0")[0] for r in got]
+    assert first == [b"%d.txt" % (100 * i) for i in range(N // 100)]
