@@ -43,3 +43,11 @@ def test_tar_shards(spark):
     assert [r.shard for r in got] == list(range(N // 100)) and {r.n for r in got} == {100}
     first = [bytes(r.tar[:100]).split(b"\0")[0] for r in got]
     assert first == [b"%d.txt" % (100 * i) for i in range(N // 100)]
+
+
+def test_training_dataset(spark):
+    df = spark.range(N).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 4).alias("lang"))
+    got = tr.dataset(df.select("doc_id"), df, "doc_id", ["lang"], ["doc_id"], None, "plan", 7, 2, 2, 3, 5).collect()
+    order = by_hash(range(N))
+    order = order[2:] + order[:2]
+    assert sorted((r.position, r.doc_id, r.lang, r.step) for r in got) == [(p, order[p], f"l{order[p] % 4}", (p - 5) // 3) for p in range(7, N, 3)]
