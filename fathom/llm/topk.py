@@ -11,8 +11,9 @@ terms, stays above the threshold are probed: what the essential terms take away
 then the non-essential terms, those of the greatest bound first, as long as the vector stays competitive. The threshold
 rises from one slice of a shard to the next. Shards' results are merged.
 
-Vectors and queries are packed into blocks (matrices in rows), and every query block meets every vector
-block once: no pairs of rows are ever made by a join. Results of a block are at most k rows a query. A tie goes to the smaller
+Vectors and queries are packed into blocks (matrices in rows, of the narrowest type that holds their numbers), and every query block meets every vector
+block once: no pairs of rows are ever made by a join. Spark can't know how large the query blocks are that are sent to every vector block, so that join is never
+a broadcast; blocks of vectors grow with the input, so that queries are sent less often. Results of a block are at most k rows a query. A tie goes to the smaller
 vec_id: slices hold vectors in order of it, so a later one needs a score above the threshold.
 
 On dense vectors nearly all postings are essential and each holds half the vectors, so the traversal costs about as much as
@@ -32,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from ..shared import arrow_rows
+from .common import col, stage
 
-#: Vectors and queries in a block, about: bounds a task's memory. STEP: vectors of a block between which the threshold rises.
-VECTOR_BLOCK, QUERY_BLOCK, STEP = 8192, 512, 2048
+#: Vectors and queries in a block, about: bounds a task's memory. A block holds a BLOCKS-th of the vectors, within these bounds. STEP: vectors of a block between which the threshold rises.
+VECTOR_BLOCK, WIDEST_BLOCK, BLOCKS, QUERY_BLOCK, STEP = 8192, 65536, 64, 512, 2048
 #: The largest long, and more than any sum of products of two doubles.
 LONG, BEYOND = 2**63 - 1, 1 << 2104
 
@@ -49,16 +51,18 @@ def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: int = 256) -
 
 
 def packed(rows: DataFrame, blocks: int, tag: str) -> DataFrame:
-    """(dim, block, ids, times, mat): vectors dealt to blocks by a hash of the row, sorted by id, as matrices of doubles; rows has times, how often a row occurs."""
+    """(dim, block, ids, times, kind, mat): vectors dealt to blocks by a hash of the row, sorted by id, as matrices of the kind that numpy calls so; rows has times, how often a row occurs."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("vec_id")
         flat = np.asarray(t.column("v").combine_chunks().flatten(), np.float64)
         ids, times = (np.asarray(t.column(c), np.int64).tobytes() for c in ("vec_id", "times"))
-        return pa.table({"dim": t.column("dim")[:1], "block": t.column("block")[:1], "ids": pa.array([ids], pa.binary()), "times": pa.array([times], pa.binary()), "mat": pa.array([flat.tobytes()], pa.binary())})
+        most = np.abs(flat).max()
+        kind = "i1" if most < 2**7 else "i2" if most < 2**15 else "i4" if most < 2**31 else "f8"
+        return pa.table({"dim": t.column("dim")[:1], "block": t.column("block")[:1], "ids": pa.array([ids], pa.binary()), "times": pa.array([times], pa.binary()), "kind": pa.array([kind]), "mat": pa.array([flat.astype(kind).tobytes()], pa.binary())})
 
     dealt = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v", F.lit(tag)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "times", "v")
-    return dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block int, ids binary, times binary, mat binary")
+    return dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block int, ids binary, times binary, kind string, mat binary")
 
 
 def exact_type(q: np.ndarray, x: np.ndarray):
@@ -137,26 +141,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     one = queries.groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("times", F.lit(1).cast("long"))
     each = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("times"))
     nv, nq = vectors.count(), one.count()
-    vb, qb = max(1, -(-nv // VECTOR_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
-    asks = packed(one, qb, "q").select(F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
+    vb, qb = max(1, -(-nv // max(VECTOR_BLOCK, min(WIDEST_BLOCK, nv // BLOCKS)))), max(1, -(-nq // QUERY_BLOCK))
+    asks = packed(one, qb, "q").select(F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("kind").alias("qkind"), F.col("mat").alias("qmat"))
     # each query block is sent to every vector block of its dimension, keyed by the block
     asks = asks.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
     have = packed(each, vb, "v")
-    met = have.join(asks, (have.dim == asks.qdim) & (have.block == asks.qblock)).select("dim", "ids", "times", "mat", "qids", "qmat")
+    # by sorting: query blocks stream past the one block of vectors of their key
+    met = asks.join(have.hint("merge"), (have.dim == asks.qdim) & (have.block == asks.qblock)).select("dim", "ids", "times", "kind", "mat", "qids", "qkind", "qmat")
 
     def run(batches):
         for batch in batches:
-            for dim, ids, times, mat, qids, qmat in zip(*(batch.column(i) for i in range(6))):
+            for dim, ids, times, kind, mat, qids, qkind, qmat in zip(*(batch.column(i) for i in range(8))):
                 d = dim.as_py()
                 whole = [np.frombuffer(b.as_py(), np.int64) for b in (ids, times, qids)]
-                x, q = (np.frombuffer(b.as_py(), np.float64).reshape(-1, d) for b in (mat, qmat))
+                x, q = (np.frombuffer(b.as_py(), t.as_py()).astype(np.float64).reshape(-1, d) for b, t in ((mat, kind), (qmat, qkind)))
                 row, vec, score = maxscore(q, whole[2], x, whole[0], k, whole[1])
                 # at the ends of a long and beyond: the nearest long, and bytes that sort like the true values
                 near = [min(max(v, -LONG - 1), LONG) for v in score]
                 over = [(v + BEYOND).to_bytes(BEYOND.bit_length() // 8 + 1, "big") if not -LONG <= n < LONG else None for v, n in zip(score, near)]
                 yield pa.RecordBatch.from_arrays([pa.array(whole[2][row], pa.int64()), pa.array(vec, pa.int64()), pa.array(near, pa.int64()), pa.array(over, pa.binary())], names=["query_id", "vec_id", "score", "over"])
 
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long, over binary")
+    with arrow_rows(vectors.sparkSession, 1):
+        found = stage(met.mapInArrow(run, "query_id long, vec_id long, score long, over binary"), "topk")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("over"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
