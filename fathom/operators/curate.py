@@ -67,6 +67,8 @@ def similar_pairs(df: DataFrame, threshold: float, key: str, column: str, shard:
     def run(batches):
         for batch in batches:
             for same, xi, xv, yi, yv in zip(*(batch.column(c) for c in range(5))):
+                if same.as_py():  # both sides are of one block, whose rows may come in another order when it is gathered twice
+                    yi, yv = xi, xv
                 width = max([1, *xv.values.value_lengths().to_pylist(), *yv.values.value_lengths().to_pylist()])
                 for p, q, sim in _cosine_pairs(_matrix(xv.values, width), _matrix(yv.values, width), threshold, same.as_py()):
                     yield pa.RecordBatch.from_arrays([xi.values.take(pa.array(p)), yi.values.take(pa.array(q)), pa.array(sim)], names=["x", "y", "similarity"])
