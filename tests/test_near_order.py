@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathom.operators import curate as cu
 
@@ -29,3 +30,10 @@ def twins(spark):
 def test_pairs_of_a_block_in_any_order(twins):
     got = sorted((r.a, r.b) for r in cu.similar_pairs(unordered(twins), 0.999, "id", "v", block=100).collect())
     assert got == [(i, i + 1) for i in range(0, 300, 2)]
+
+
+def test_groups_in_any_order(twins, monkeypatch):
+    # equal vectors are staged before they are compared
+    monkeypatch.setattr(cu, "stage", lambda df, tag: unordered(df.coalesce(1)))
+    got = cu.representatives(twins, cu.similar_links(twins, 0.999, "id", "v"), "id", [F.desc("id")]).collect()
+    assert sorted(map(tuple, got)) == [(i, i - i % 2, i % 2 == 1) for i in range(300)]
