@@ -32,3 +32,7 @@ def against_sql(spark, at, name):
 
 def test_collated_batches(spark, big):
     against_sql(spark, big, "collated_batches")
+
+
+def test_training_dataset(spark, big):
+    against_sql(spark, big, "training_dataset")
