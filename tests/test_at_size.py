@@ -36,3 +36,7 @@ def test_collated_batches(spark, big):
 
 def test_training_dataset(spark, big):
     against_sql(spark, big, "training_dataset")
+
+
+def test_tar_shards(spark, big):
+    against_sql(spark, big, "tar_shards")
