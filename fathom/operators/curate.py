@@ -15,27 +15,49 @@ from .graph import components
 
 #: Vectors in a block, about; blocks are compared in slices of so many rows, and pairs leave in batches of so many.
 BLOCK, SLICE, BATCH = 4096, 512, 1 << 16
+#: Every block travels once for each block that it meets: from so many blocks on they grow, up to so many times and to so many components.
+BLOCKS, GROWTH, COMPONENTS = 16, 8, 1 << 21
 
 
-def _cosine_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
-    """Batches (rows of x, rows of y, similarity) that reach the threshold or are NaN; of one block only pairs of a row and a later one."""
-    nx, ny = (np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) for m in (x, y))
-    for at in range(0, len(x), SLICE):
-        n = nx[at : at + SLICE, None] * ny
-        likely = ~(np.where(n == 0, 0.0, x[at : at + SLICE] @ y.T / np.where(n == 0, 1.0, n)) < threshold - 1e-9)
-        i, j = np.nonzero(np.triu(likely, at + 1) if same else likely)
-        for b in range(0, len(i), BATCH):
-            p, q = i[b : b + BATCH] + at, j[b : b + BATCH]
-            m = nx[p] * ny[q]
-            # summed in the order of the components, as fn.cosine does
-            yield p, q, np.where(m == 0, 0.0, np.cumsum(x[p] * y[q], axis=1)[:, -1] / np.where(m == 0, 1.0, m))
+def _units(m: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in single precision; zeros where a row has no length or none that is finite."""
+    fit = np.isfinite(squares) & (squares > 0)
+    out = np.zeros(m.shape, np.float32)
+    np.divide(m, np.sqrt(squares)[:, None], out=out, where=fit[:, None], casting="unsafe")
+    return out
+
+
+def _cosine_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, blank: float = 0.0):
+    """Batches (rows of x, rows of y, similarity) that reach the threshold or are NaN; of one block only pairs of a row and a later one.
+
+    Products in single precision find the candidates, by a margin above their error; similarities are of double precision."""
+    nx, ny = (np.cumsum(m * m, axis=1)[:, -1] for m in (x, y))
+    u, v = _units(x, nx), _units(y, ny)
+    odd_x, odd_y = (~np.isfinite(n) | ((n == 0) & np.isnan(blank)) for n in (nx, ny))
+    least, batch = threshold - (x.shape[1] + 8) * 2.0**-23, max(1, BATCH * 64 // max(64, x.shape[1]))
+    step = max(1, SLICE * BLOCK // max(BLOCK, len(y)))
+    for at in range(0, len(x), step):
+        first = at if same else 0
+        likely = ~(u[at : at + step] @ v[first:].T < least)
+        likely[odd_x[at : at + step]] = True
+        likely[:, odd_y[first:]] = True
+        i, j = np.nonzero(np.triu(likely, 1) if same else likely)
+        for b in range(0, len(i), batch):
+            p, q = i[b : b + batch] + at, j[b : b + batch] + first
+            # one root of the product, as in SQL: the product of two roots can miss a threshold that is met exactly
+            n = np.sqrt(nx[p] * ny[q])
+            yield p, q, np.where(n == 0, blank, np.cumsum(x[p] * y[q], axis=1)[:, -1] / np.where(n == 0, 1.0, n))
 
 
 def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
-    """Vectors as rows, filled with zeros up to the width: products then run over the common length."""
+    """Vectors as rows, filled with zeros up to the width: products then run over the common length. Rows whose squares could leave the range of doubles are scaled by a power of two."""
     sizes = np.asarray(vectors.value_lengths(), np.int64)
     out = np.zeros((len(sizes), width))
     out[np.arange(width) < sizes[:, None]] = np.asarray(vectors.flatten(), float)
+    most = np.abs(out).max(axis=1)
+    powers = np.frexp(np.where(np.isfinite(most), most, 0.0))[1]
+    far = np.abs(powers) > 200
+    out[far] = np.ldexp(out[far], -powers[far, None])
     return out
 
 
@@ -47,22 +69,27 @@ def _sharded(df: DataFrame, column: str, shard: str | Sequence[str] | None) -> t
     return rows, by
 
 
-def similar_pairs(df: DataFrame, threshold: float, key: str, column: str, shard: str | Sequence[str] | None = None, most: int | None = None, block: int = BLOCK) -> DataFrame:
+def similar_pairs(
+    df: DataFrame, threshold: float, key: str, column: str, shard: str | Sequence[str] | None = None, most: int | None = None, block: int = BLOCK, blank: float = 0.0
+) -> DataFrame:
     """(a, b, similarity) of rows whose cosine reaches the threshold, a < b: of all rows, or with `shard` of rows that share its values, null none.
 
-    Every block of rows meets every block of its shard as matrices, so a shard may have any size; one over `most` rows is refused where that is given."""
+    Every block of rows meets every block of its shard as matrices, so a shard may have any size; one over `most` rows is refused where that is given.
+    A vector without length has the similarity `blank` to any other; NaN reaches every threshold."""
     rows, by = _sharded(df, column, shard)
-    rows = rows.select(F.struct(*by, F.lit(0).alias("__all")).alias("s"), F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"))
-    worst = rows.groupBy("s").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    narrow = df.schema[column].dataType.elementType.simpleString() == "float"
+    rows = rows.select(F.struct(*by, F.lit(0).alias("__all")).alias("s"), F.col(key).alias("id"), F.col(column).cast(f"array<{'float' if narrow else 'double'}>").alias("v"))
+    worst, wide = (x or 0 for x in rows.groupBy("s").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).agg(F.max("n"), F.max("w")).first())
     if most is not None and worst > most:
         raise ValueError(f"a shard of {worst} rows; all-pairs comparison takes up to {most}")
-    n = max(1, -(-worst // block))
+    grown = max(block, min(GROWTH * block, COMPONENTS // max(1, wide)))
+    n = max(1, min(-(-worst // block), max(BLOCKS, -(-worst // grown))))
     dealt = rows.withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n)).cast("int"))
     blocks = dealt.groupBy("s", "at").agg(F.collect_list(F.struct("id", "v")).alias("r")).select("s", "at", F.col("r.id").alias("ids"), F.col("r.v").alias("vs"))
-    # the blocks of a pair meet under the pair's own key
+    # the blocks of a pair meet under the pair's own key; they are sorted, as their estimated size knows nothing of how often they travel
     x = blocks.select("s", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.lit(n - 1))).alias("j"), F.col("ids").alias("xi"), F.col("vs").alias("xv"))
     y = blocks.select("s", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.col("ids").alias("yi"), F.col("vs").alias("yv"))
-    met = x.join(y, ["s", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "xi", "xv", "yi", "yv")
+    met = x.join(y.hint("merge"), ["s", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "xi", "xv", "yi", "yv")
 
     def run(batches):
         for batch in batches:
@@ -70,7 +97,7 @@ def similar_pairs(df: DataFrame, threshold: float, key: str, column: str, shard:
                 if same.as_py():  # both sides are of one block, whose rows may come in another order when it is gathered twice
                     yi, yv = xi, xv
                 width = max([1, *xv.values.value_lengths().to_pylist(), *yv.values.value_lengths().to_pylist()])
-                for p, q, sim in _cosine_pairs(_matrix(xv.values, width), _matrix(yv.values, width), threshold, same.as_py()):
+                for p, q, sim in _cosine_pairs(_matrix(xv.values, width), _matrix(yv.values, width), threshold, same.as_py(), blank):
                     yield pa.RecordBatch.from_arrays([xi.values.take(pa.array(p)), yi.values.take(pa.array(q)), pa.array(sim)], names=["x", "y", "similarity"])
 
     kind = df.schema[key].dataType.simpleString()
@@ -83,7 +110,9 @@ def similar_links(df: DataFrame, threshold: float, key: str, column: str, shard:
     rows, by = _sharded(df, column, shard)
     rows = rows.select(*by, key, column)
     firsts = stage(rows.groupBy(*by, column).agg(F.min(key).alias("a")), "firsts")
-    alike = rows.join(firsts, [*by, column]).where((F.col(key) != F.col("a")) & (fn.cosine(F.col(column), F.col(column)) >= threshold))
+    finite = F.forall(column, lambda x: F.abs(x) < float("inf"))
+    own = F.when(F.forall(column, lambda x: x == 0), 0.0).when(finite, 1.0).otherwise(float("nan"))  # of a vector with itself
+    alike = rows.join(firsts, [*by, column]).where((F.col(key) != F.col("a")) & (own >= threshold))
     return similar_pairs(firsts.withColumnRenamed("a", key), threshold, key, column, shard).select("a", "b").union(alike.select("a", F.col(key).alias("b")))
 
 

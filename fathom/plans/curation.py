@@ -100,15 +100,17 @@ def diversify_topk(spark, sf_dir):
     return se.diverse_nearest(table(spark, sf_dir, "embeddings"), _seed(spark, sf_dir), 10, 0.3, "vec_id", "embedding")
 
 
-PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE similarity >= 0.35)"
+PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON {same}a.vec_id < b.vec_id WHERE similarity >= 0.35)"
 
 
-@query("near_dup_pairs", f"WITH {PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM p")
+@query("near_dup_pairs", f"WITH {PAIRS.format(same='')} SELECT a, b, round(similarity, 6) AS similarity FROM p")
 def near_dup_pairs(spark, sf_dir):
-    return cu.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35, "vec_id", "embedding", "label").withColumn("similarity", F.round("similarity", 6))
+    """Of all rows, whatever their labels. As in SQL, a vector of zeros has no similarity but NaN, which reaches the threshold, and one without components none."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0)
+    return cu.similar_pairs(e, 0.35, "vec_id", "embedding", blank=float("nan")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("near_dup_groups", f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+@query("near_dup_groups", f"""WITH RECURSIVE {PAIRS.format(same='a.label = b.label AND ')}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
 g AS (SELECT a AS vec_id, min(b) AS "group" FROM r GROUP BY 1) SELECT vec_id, "group", vec_id = max(vec_id) OVER (PARTITION BY "group") AS kept FROM g""")
 def near_dup_groups(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
